@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text handled at once inside a Python worker; a single longer text is a slice of its own.
@@ -53,7 +54,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
     """Cut Arrow batches into slices of at most ``limit`` bytes of ``column`` (one row at least)."""
     for batch in batches:
         index = batch.schema.get_field_index(column)
-        sizes = pa.compute.binary_length(batch.column(index)).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(batch.column(index)).fill_null(0).to_numpy(zero_copy_only=False)
         start = held = 0
         for row, size in enumerate(sizes):
             if row > start and held + size > limit:

@@ -7,8 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from rillrank.llm.decontam_fm import benchmark_hits
 from rillrank.llm.exact_dedup import exact_groups
+from rillrank.llm.langid_crf import language
+from rillrank.llm.minhash import near_duplicates
+from rillrank.llm.pii import BASE_KINDS, personal_data, span_text
+from rillrank.llm.quality_dsir import quality
+from rillrank.llm.sentencepiece_viterbi import encode_decode
 from rillrank.llm.token_count import token_counts
+from rillrank.llm.token_files import token_files
+from rillrank.llm.toxicity import toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,14 +29,80 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_documents(spark, sf_dir))
 
 
+def _remainder(n: int) -> F.Column:
+    """crc32 of the id as text, modulo n; a null id counts as held out."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(_remainder(5) == 0, F.lit(True))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out)
+    scored = toxicity(_documents(spark, sf_dir), labels)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(_remainder(3) == 1, F.lit(True))
+    docs = _documents(spark, sf_dir)
+    found = language(docs, docs.where(~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(_documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
+
+
+    def counted(kind: str) -> F.Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *map(counted, BASE_KINDS), F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"),
+        F.concat_ws(",", F.transform("spans", lambda s: s["score"].cast("string"))).alias("scores"),
+    )
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = benchmark_hits(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return hits.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        (F.size("items") >= 2).alias("contaminated"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_toxicity": op2_toxicity,
+        "op3_sentencepiece": op3_sentencepiece,
+        "op4_minhash": op4_minhash,
+        "op5_token_files": op5_token_files,
+        "op6_language": op6_language,
+        "op7_quality": op7_quality,
         "op8_token_counts": op8_token_counts,
+        "op9_pii": op9_pii,
+        "op10_decontamination": op10_decontamination,
     }
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from rillrank.llm.common import slices
@@ -34,7 +35,7 @@ def token_counts(
         counter = _workers[key]
         for batch in slices(batches, "text"):
             texts = batch.column("text")
-            n_bytes = pa.compute.binary_length(texts).fill_null(0).cast(pa.int64())
+            n_bytes = pc.binary_length(texts).fill_null(0).cast(pa.int64())
             n_tokens = counter.counts(texts.to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("id"), n_bytes, pa.array(n_tokens, pa.int64())], names)
 
