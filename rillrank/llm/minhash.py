@@ -12,13 +12,14 @@
    these links are joined to components, what still stands outside the list's largest component is compared with the
    whole list, block against block, and a block pair returns a spanning forest of its links, never all pairs.
 
-Links are lost only where two sets of the given similarity agree in fewer than ``matches`` coordinates: for 32
-coordinates, 16 matches and similarity 0.85 that is a chance below 6e-7 a link.
+Links are lost only where two sets of the given similarity agree in fewer than ``matches`` coordinates; the default is
+the largest threshold that makes this chance at most 1e-6 a link (16 of 32 coordinates for similarity 0.85).
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,16 @@ SMALL = 32
 BLOCK = 512
 
 
+def least_matches(percent: int, coordinates: int, miss: float = 1e-6) -> int:
+    """The largest threshold that sets of this similarity fall below with a chance of at most ``miss``."""
+    p, below = percent / 100, 0.0
+    for m in range(coordinates + 1):
+        below += math.comb(coordinates, m) * p**m * (1 - p) ** (coordinates - m)
+        if below > miss:
+            return max(m, 1)
+    return coordinates
+
+
 def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int, coordinates: int) -> DataFrame:
     """``id, n, fingerprint, signature`` of every row; signature is null without words."""
 
@@ -145,7 +156,7 @@ def near_duplicates(
     width: int = 5,
     percent: int = 85,
     coordinates: int = 32,
-    matches: int = 16,
+    matches: int | None = None,
     small: int = SMALL,
     block: int = BLOCK,
 ) -> DataFrame:
@@ -159,6 +170,7 @@ def near_duplicates(
     returned, with the smallest component of that id; a null id is its own component (null, not kept unless alone: it
     is never linked); an empty table gives an empty result; other columns are ignored.
     """
+    matches = least_matches(percent, coordinates) if matches is None else matches
     rows = written(_sketches(docs, id_col, text_col, width, coordinates), "sketches")
     worded = rows.where("signature is not null and id is not null")
     # A class is named by its smallest id.  min() folds a hot class map-side; its signature is any of its equal ones.
