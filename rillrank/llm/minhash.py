@@ -250,11 +250,11 @@ def near_duplicates(
         salted = F.xxhash64("class", "c")
         loose = lined.where("component != main").select(
             "c", "v", "class", "component", F.lit(0).alias("side"),
-            F.pmod(salted, "loose_blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"),
+            F.pmod(salted, "loose_blocks").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"),
         )
         every = lined.select(
             "c", "v", "class", "component", F.lit(1).alias("side"),
-            F.explode(F.sequence(F.lit(0), F.col("loose_blocks") - 1)).cast("long").alias("i"),
+            F.explode(F.sequence(F.lit(0), F.col("loose_blocks") - 1)).alias("i"),
             F.pmod(salted, "all_blocks").cast("int").alias("j"),
         )
         dealt = loose.union(every).join(classes.select("class", "signature"), "class").join(sets, "class")
