@@ -116,7 +116,7 @@ def _threshold(good: np.ndarray, bad: np.ndarray) -> tuple[float, float]:
     lost = np.searchsorted(np.sort(good), cuts) / len(good)
     kept = 1 - np.searchsorted(np.sort(bad), cuts) / len(bad)
     # A good document lost weighs more than a bad one kept: a filter must keep clean documents.
-    cost = 4 * lost + kept
+    cost = 20 * lost + kept
     best = np.flatnonzero(cost <= cost.min() + 1e-12)
     return float(cuts[best].mean()), float(good.mean() - bad.mean())
 

@@ -15,6 +15,7 @@ through the library's whole ``encode_batch``.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -58,7 +59,7 @@ class _Pieces:
         ids = self.parts.get(text)
         if ids is None:
             ids = [t.id for t in self.model.tokenize(_stand_ins(text))]
-            if len(self.parts) < CACHE_ENTRIES // 2:
+            if len(text) <= 4:  # stops and short words; whole pieces are cached by the callers
                 self.parts[text] = ids
         return ids
 
@@ -84,7 +85,7 @@ class _Pieces:
             for i, encoding in zip(slow[start:end], found, strict=True):
                 out[i] = encoding.ids
             start = end
-        if len(self.parts) >= CACHE_ENTRIES // 2:
+        if len(self.parts) >= CACHE_ENTRIES:
             self.parts.clear()
         return out
 
@@ -140,14 +141,14 @@ class WordBpeEncoder:
 
     def _learn(self, pieces: set[str]) -> None:
         new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > CACHE_ENTRIES:
+        if len(self.known) + len(new) > 2 * CACHE_ENTRIES:
             self._empty()
             new = list(pieces)
         found = self.pieces.ids(new)
         at = len(self.known)
         self.known.update(zip(new, range(at, at + len(new)), strict=True))
         lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        ids = np.fromiter((i for ids in found for i in ids), dtype=np.uint32, count=int(lengths.sum()))
+        ids = np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(lengths.sum()))
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
         self.store = np.concatenate([self.store, ids])
 
