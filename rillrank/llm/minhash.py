@@ -224,8 +224,8 @@ def near_duplicates(
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).union(
         long_lists.select("class")
     )
-    heads = classes.join(wanted.distinct(), "class", "left_semi").select("class", F.col("head").alias("id"))
-    sets = _sets(docs, heads, id_col, text_col, width).join(heads, ["id", "class"]).select("class", "shingles")
+    heads = classes.join(wanted.distinct(), "class", "left_semi").select("class", F.col("head").alias("id"), "signature")
+    sets = _sets(docs, heads, id_col, text_col, width).join(heads, ["id", "class"]).drop("id")
     sets = written(sets.dropDuplicates(["class"]), "sets")
     links = written(_confirmed(pairs, sets, percent), "confirmed")
 
@@ -257,7 +257,7 @@ def near_duplicates(
             F.explode(F.sequence(F.lit(0), F.col("loose_blocks") - 1)).alias("i"),
             F.pmod(salted, "all_blocks").cast("int").alias("j"),
         )
-        dealt = loose.union(every).join(classes.select("class", "signature"), "class").join(sets, "class")
+        dealt = loose.union(every).join(sets, "class")
         schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
         more = dealt.groupBy("c", "v", "i", "j").applyInPandas(_block_links(percent, matches), schema)
         links = links.union(written(more, "blocks"))
