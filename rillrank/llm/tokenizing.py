@@ -47,7 +47,8 @@ def _stand_ins(text: str) -> str:
 class _Pieces:
     """Ids of pieces by text, with a bounded cache."""
 
-    def __init__(self, serialised: str, lower: bool):
+    def __init__(self, serialised: str, lower: bool, keep_words: bool):
+        self.keep_words = keep_words
         self.tokenizer = Tokenizer.from_str(serialised)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -59,7 +60,7 @@ class _Pieces:
         ids = self.parts.get(text)
         if ids is None:
             ids = [t.id for t in self.model.tokenize(_stand_ins(text))]
-            if len(text) <= 4:  # stops and short words; whole pieces are cached by the callers
+            if self.keep_words or len(text) <= 4:
                 self.parts[text] = ids
         return ids
 
@@ -85,7 +86,7 @@ class _Pieces:
             for i, encoding in zip(slow[start:end], found, strict=True):
                 out[i] = encoding.ids
             start = end
-        if len(self.parts) >= CACHE_ENTRIES:
+        if len(self.parts) >= CACHE_ENTRIES // 2:
             self.parts.clear()
         return out
 
@@ -94,7 +95,7 @@ class ByteBpeCounter:
     """Counts the tokens of whole texts under a byte-level BPE (GPT-2 style) tokenizer."""
 
     def __init__(self, serialised: str):
-        self.pieces = _Pieces(serialised, lower=False)
+        self.pieces = _Pieces(serialised, lower=False, keep_words=True)
         self.known: dict[str, dict[str, int]] = {"": {}, " ": {}}
         self.line = len(self.pieces.ids(["\n"])[0])
 
@@ -130,7 +131,7 @@ class WordBpeEncoder:
     _NOT_SPACE_THERE = ("\x1c", "\x1d", "\x1e", "\x1f")  # str.split cuts here, the tokenizer doesn't
 
     def __init__(self, serialised: str):
-        self.pieces = _Pieces(serialised, lower=True)
+        self.pieces = _Pieces(serialised, lower=True, keep_words=False)
         self._empty()
 
     def _empty(self) -> None:
