@@ -225,6 +225,15 @@ class Viterbi:
 _workers: dict[int, Viterbi] = {}
 
 
+def _viterbi(serialised: bytes) -> Viterbi:
+    """This worker's encoder, kept between tasks with its caches."""
+    key = zlib.crc32(serialised)
+    if key not in _workers:
+        _workers.clear()
+        _workers[key] = Viterbi(serialised)
+    return _workers[key]
+
+
 def encode_decode(
     docs: DataFrame, model_path: str, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False
 ) -> DataFrame:
@@ -239,13 +248,9 @@ def encode_decode(
     """
     with open(model_path, "rb") as file:
         serialised = docs.sparkSession.sparkContext.broadcast(file.read())
-    key = hash(model_path)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _workers:
-            _workers.clear()
-            _workers[key] = Viterbi(serialised.value)
-        viterbi = _workers[key]
+        viterbi = _viterbi(serialised.value)
         for batch in slices(batches, "text"):
             texts = batch.column("text").to_pylist()
             flat, counts = viterbi.encode(texts)

@@ -9,10 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from rillrank.llm.common import slices
-from rillrank.llm.tokenizing import ByteBpeCounter
-
-_workers: dict[int, ByteBpeCounter] = {}
-
+from rillrank.llm.tokenizing import ByteBpeCounter, instance
 
 def token_counts(
     docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 512
@@ -26,13 +23,9 @@ def token_counts(
     """
     with open(tokenizer_path, encoding="utf-8") as file:
         serialised = docs.sparkSession.sparkContext.broadcast(file.read())
-    key = hash(tokenizer_path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _workers:
-            _workers.clear()
-            _workers[key] = ByteBpeCounter(serialised.value)
-        counter = _workers[key]
+        counter = instance(ByteBpeCounter, serialised.value)
         for batch in slices(batches, "text"):
             texts = batch.column("text")
             n_bytes = pc.binary_length(texts).fill_null(0).cast(pa.int64())

@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rillrank.llm.common import new_folder, slices
-from rillrank.llm.tokenizing import WordBpeEncoder
+from rillrank.llm.common import new_folder, slices, small_batches
+from rillrank.llm.tokenizing import WordBpeEncoder, instance
 
 BLOCK = 128
 #: Ids of a segment, at least; the segment ends with the document that reaches it.
@@ -133,9 +133,6 @@ def decode_segment(payload: bytes) -> tuple[list[int | None], np.ndarray, np.nda
     return ids, lengths.astype(np.int64), values
 
 
-_workers: dict[int, WordBpeEncoder] = {}
-
-
 def write_token_files(
     docs: DataFrame, path: str, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1
 ) -> None:
@@ -146,12 +143,9 @@ def write_token_files(
     """
     with open(tokenizer_path, encoding="utf-8") as file:
         serialised = docs.sparkSession.sparkContext.broadcast(file.read())
-    key = hash(tokenizer_path)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _workers:
-            _workers.clear()
-            _workers[key] = WordBpeEncoder(serialised.value)
+        encoder = instance(WordBpeEncoder, serialised.value)
         part, segment = TaskContext.get().partitionId(), 0
         ids: list[int | None] = []
         lengths: list[np.ndarray] = []
@@ -164,7 +158,7 @@ def write_token_files(
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
 
         for batch in slices(batches, "text", 1 << 20):
-            found, counts = _workers[key].encode(batch.column("text").to_pylist())
+            found, counts = encoder.encode(batch.column("text").to_pylist())
             ends = np.cumsum(counts)
             values.append(np.insert(found, ends, end_id))
             lengths.append(counts + 1)
@@ -181,9 +175,9 @@ def write_token_files(
     types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    ordered.mapInArrow(encode, "part int, segment int, n_docs long, n_tokens long, payload binary").write.option(
-        "compression", "none"
-    ).parquet(path)
+    files = ordered.mapInArrow(encode, "part int, segment int, n_docs long, n_tokens long, payload binary")
+    with small_batches(docs.sparkSession):
+        files.write.option("compression", "none").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str, *, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
