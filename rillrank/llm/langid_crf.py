@@ -86,7 +86,10 @@ def forward_backward(emissions: np.ndarray, transitions: np.ndarray, counts: np.
     product = np.broadcast_to(np.eye(labels), (total, labels, labels)).copy()
     for t in range(BLOCK):
         live = np.flatnonzero(present[:, t])
-        moved = product[live] @ step * padded[live, t, None, :]
+        moved = product[live] @ step
+        if t == 0:  # nothing stands before a text's first word
+            moved = np.where(within[live, None, None] == 0, product[live], moved)
+        moved = moved * padded[live, t, None, :]
         product[live] = moved / moved.sum(axis=(1, 2), keepdims=True)
     # Entering from the left (before the block's own transition) and from the right.
     left, right = np.ones((total, labels)), np.ones((total, labels))
@@ -100,7 +103,10 @@ def forward_backward(emissions: np.ndarray, transitions: np.ndarray, counts: np.
         right[back] /= right[back].sum(axis=1, keepdims=True)
     alpha, carried = np.empty_like(padded), left
     for t in range(BLOCK):
-        moved = carried @ step * padded[:, t]
+        moved = carried @ step
+        if t == 0:
+            moved = np.where(within[:, None] == 0, carried, moved)
+        moved = moved * padded[:, t]
         moved /= moved.sum(axis=1, keepdims=True)
         carried = np.where(present[:, t, None], moved, carried)
         alpha[:, t] = carried
@@ -142,7 +148,7 @@ class LanguageField:
     def label_words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Words of each text and the posteriors of all words."""
         counts, index, distinct = words_of(texts)
-        if not distinct:
+        if not distinct or not self.languages:
             return counts, np.zeros((0, len(self.languages)))
         return counts, forward_backward(self.word_scores(distinct)[index], self.transitions, counts)
 
@@ -150,7 +156,7 @@ class LanguageField:
         """Language and mean posterior of whole texts."""
         counts, posteriors = self.label_words(texts)
         doc = np.repeat(np.arange(len(texts)), counts)
-        means = np.stack([np.bincount(doc, p, len(texts)) for p in posteriors.T], axis=1) if self.languages else None
+        means = np.stack([np.bincount(doc, p, len(texts)) for p in posteriors.T], axis=1).astype(float) if self.languages else None
         names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
         if means is not None:
             means /= np.maximum(counts, 1)[:, None]

@@ -18,7 +18,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from rillrank.llm.common import slices, written
 
@@ -52,10 +51,12 @@ def _sample(labels: DataFrame, id_col: str, label_col: str, per_class: int) -> t
     """Ids of at most ``per_class`` good and bad documents each, by hash of the id."""
     rated = labels.where(labels[id_col].isNotNull() & labels[label_col].isNotNull())
     rated = rated.groupBy(rated[id_col].cast("long").alias("id")).agg(F.min(rated[label_col].cast("int")).alias("label"))
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    rows = rated.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_class).collect()
-    ids = lambda good: np.sort(np.array([r["id"] for r in rows if (r["label"] > 0) == good], dtype=np.int64))
-    return ids(True), ids(False)
+
+    def ids(kind: str) -> np.ndarray:
+        rows = rated.where(kind).orderBy(F.xxhash64("id"), "id").limit(per_class).collect()
+        return np.sort(np.array([r["id"] for r in rows], dtype=np.int64))
+
+    return ids("label > 0"), ids("label <= 0")
 
 
 def log_ratios(docs: DataFrame, good_ids: np.ndarray, *, id_col: str, text_col: str, bits: int) -> np.ndarray:

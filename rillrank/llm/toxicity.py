@@ -140,13 +140,12 @@ def train(
     keep: int, rank: int,
 ) -> FactorizationMachine:
     """Fit on at most ``per_class`` labelled rows of each class, chosen by the hash of their ids."""
-    from pyspark.sql.window import Window
-
     rated = labels.where(labels[id_col].isNotNull() & labels[label_col].isNotNull())
     rated = rated.groupBy(rated[id_col].alias("id")).agg(F.max(rated[label_col].cast("int")).alias("label"))
     sizes = {r["label"]: r["n"] for r in rated.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    chosen = rated.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_class)
+    # Each task sends its own first rows only, so that a class isn't gathered in one task.
+    by_hash = [rated.where(kind).orderBy(F.xxhash64("id"), "id").limit(per_class) for kind in ("label > 0", "label <= 0")]
+    chosen = by_hash[0].union(by_hash[1])
     # At most 2 * per_class ids: bounded whatever the tables' size.
     sample = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(
         F.broadcast(chosen.select("id", "label")), "id"

@@ -1,0 +1,325 @@
+"""The text operators against plain versions, on small tables with the awkward rows in them."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from rillrank.llm import components, decontam_fm, exact_dedup, minhash, pii, quality_dsir, queries, sentencepiece_viterbi, token_count, token_files, toxicity
+from rillrank.llm import langid_crf
+from tests.llm import brute
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, id long, size long"
+WORDS = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "iota", "kappa", "Ünï", "naïve", "日本語"]
+
+
+def texts() -> list[tuple[int, str | None]]:
+    """Nulls, blanks, ties, copies, near copies, one very long text and foreign characters."""
+    r = random.Random(3)
+    prose = lambda n: " ".join(r.choice(WORDS) + str(r.randrange(40)) for _ in range(n))
+    base, long = prose(80), prose(30_000)
+    rows: list[tuple[int, str | None]] = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "one two"), (6, "ONE  two"), (7, long), (8, long + " end")]
+    rows += [(10 + i, base.replace(" ", "  " if i % 2 else " ")) for i in range(6)]
+    for i in range(60):
+        words = base.split()
+        for _ in range(i % 9):
+            words[r.randrange(len(words))] = f"x{i}y{r.randrange(9)}"
+        rows.append((100 + i, " ".join(words)))
+    rows += [(300 + i, prose(r.randrange(1, 60))) for i in range(40)]
+    rows += [(400, "mail a.b@c.de, call +44 (20) 7946 0958 now, card 4111 1111 1111 1111; ip 10.0.0.256 and 10.0.0.1, GB82 WEST 1234 5698 7654 32")]
+    rows += [(401, "<|endoftext|> <s> don't\x1cX▁Y  \n\n\x00"), (402, "a" * 5000), (403, "9" * 3000 + "@" + "a." * 500)]
+    return rows
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", 0, True, -1, 7) for i, t in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return frame(spark, texts()).repartition(5).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return frame(spark, [])
+
+
+def test_exact(spark, docs, none):
+    strip = str.maketrans("", "", exact_dedup.WHITE_SPACE)
+    groups: dict[str, list[tuple[int, int]]] = {}
+    for i, t in texts():
+        groups.setdefault((t or "").translate(strip), []).append((-len(t or ""), i))
+    want = {i: (min(g)[1], len(g), hashlib.sha256(n.encode()).hexdigest()) for n, g in groups.items() for _, i in g}
+    for hashing in ({}, {"content_hash": lambda n: F.length(n) % 3}):  # a weak hash: most groups collide
+        got = {r.doc_id: (r.keep_id, r.group_size, r.text_sha256) for r in exact_dedup.exact_groups(docs, **hashing).collect()}
+        assert got == want
+    assert exact_dedup.exact_groups(none).count() == 0
+    again = exact_dedup.exact_groups(frame(spark, [(1, "a"), (1, "a"), (None, "a"), (None, "b"), (-5, "a ")])).collect()
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in again) == [
+        ("-5", "-5", 4, True), ("1", "-5", 4, False), ("1", "-5", 4, False), ("None", "-5", 4, False), ("None", "None", 1, True)]
+
+
+@pytest.mark.parametrize("small", [32, 3])
+def test_near(docs, small):
+    """With short lists only, and with most lists long, so that hubs and block pairs do the work."""
+    found = minhash.near_duplicates(docs, small=small, block=16)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found.collect()}
+    assert got == brute.near(texts())
+
+
+def test_near_edges(spark, none):
+    assert minhash.near_duplicates(none).count() == 0
+    text = "a b c d e f g"
+    rows = minhash.near_duplicates(frame(spark, [(1, text), (1, text), (2, "x y"), (3, "X  y"), (None, text), (9, None)])).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in rows) == [
+        (0, 3, None, True), (1, 3, 1, True), (1, 3, 1, True), (2, 1, 2, True), (3, 1, 2, False), (9, 0, 9, True)]
+
+
+def test_least_matches():
+    assert minhash.least_matches(85, 32) == 16
+    assert minhash.least_matches(100, 8) == 8
+
+
+def test_components(spark):
+    links = [(5, 4), (4, 3), (3, 2), (9, 9), (7, 8), (2, 1), (7, 8), (20, 21), (21, 22), (20, 22)]
+    out = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert out == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 7: 7, 8: 7, 20: 20, 21: 20, 22: 20}
+
+
+def test_token_files(docs, none, spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    want = brute.token_rows(texts(), Tokenizer.from_file(path))
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_files.token_files(docs, path).collect()}
+    assert got == want
+    assert token_files.token_files(none, path).count() == 0
+    token_files.write_token_files(docs, str(tmp_path / "t"), path)
+    full = token_files.read_token_files(spark, str(tmp_path / "t"), with_ids=True).where("doc_id = 5").first()
+    assert full.token_ids == [*Tokenizer.from_file(path).encode("one two", add_special_tokens=False).ids, 1]
+
+
+def test_packing():
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    for n in (0, 1, 127, 128, 129, 5000):
+        values = r.integers(0, 300, n).astype(np.uint32)
+        values[r.random(n) < 0.03] = 2**32 - 1
+        parts = token_files.pack(values)
+        assert (token_files.unpack(*parts)[:n] == values).all()
+        if n == 5000:
+            assert (token_files.unpack(*parts, first=7, last=9) == values[7 * 128 : 9 * 128]).all() and len(parts[5])
+
+
+def test_counts(docs, none):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    want = {i: (len((t or "").encode()), len(plain.encode(t or "", add_special_tokens=False).ids)) for i, t in texts()}
+    got = token_count.token_counts(docs, path).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in got} == want
+    assert all(r.over_limit == (r.n_tokens > 512) for r in got)
+    assert token_count.token_counts(none, path).count() == 0
+
+
+def test_sentencepiece(docs, none):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    plain = sentencepiece.SentencePieceProcessor(model_file=path)
+    rows = {r.doc_id: r for r in sentencepiece_viterbi.encode_decode(docs, path, with_text=True).collect()}
+    for i, t in texts():
+        assert rows[i].piece_ids == plain.encode(t or ""), i
+        assert rows[i].decoded == plain.decode(plain.encode(t or ""))
+        assert rows[i].round_trip == ("▁" not in (t or ""))
+    assert sentencepiece_viterbi.encode_decode(none, path).count() == 0
+
+
+def test_unigram_viterbi_is_the_best_path():
+    """A hand-made unigram model against all segmentations."""
+    import struct
+
+    pieces = {"<unk>": 0.0, "▁": -3.0, "a": -2.0, "b": -2.5, "ab": -3.0, "▁a": -2.2, "aba": -4.0, "ba": -3.1}
+
+    def field(number: int, data: bytes) -> bytes:
+        return bytes([number << 3 | 2, len(data)]) + data
+
+    model = b"".join(
+        field(1, field(1, p.encode()) + b"\x15" + struct.pack("<f", s) + (b"\x18\x02" if p == "<unk>" else b"")) for p, s in pieces.items()
+    ) + field(2, b"\x18\x01") + field(3, b"\x18\x01\x20\x00")
+    viterbi = sentencepiece_viterbi.Viterbi(model)
+    names, scores = list(pieces), list(pieces.values())
+
+    def best(text: str) -> float:
+        return 0.0 if not text else max(scores[i] + best(text[len(p):]) for i, p in enumerate(names) if i and text.startswith(p))
+
+    for word in ("ab", "abab", "babaab", "aabbaba"):
+        ids = viterbi.encode([word])[0].tolist()
+        assert "".join(names[i] for i in ids) == "▁" + word
+        assert sum(scores[i] for i in ids) == pytest.approx(best("▁" + word))
+
+
+def test_personal_data(docs, none):
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.personal_data(docs).collect()}
+    for i, t in texts():
+        assert [s for s in found[i] if s[0] in pii.BASE_KINDS] == brute.personal(t), i
+    assert [k for k, *_ in found[400]] == ["email", "phone", "card", "ip", "iban"]
+    assert pii.personal_data(none).count() == 0
+
+
+@pytest.mark.parametrize("text", [
+    "a@b.c@d.e x@y @z.w a@b..c a..b@c-d.e-f", "1.2.3.4.5.6.7.8 1.2.3 999.1.1.1 1.999.1.1.1.1", "4111-1111-1111-1111 4111  1111 1111 1111 0 0 0 0 0 0 0 0 0 0 0 0",
+    "+1 2 3 4 5 6 7 8 9 +1+2 +12345678901234567 +(1)23456789 +1-----------2345678 ", "١٢ 1٣.2.3.4 é@b.co",
+])
+def test_personal_data_patterns(text):
+    assert [s[:3] for s in pii.find_spans(text) if s[0] in pii.BASE_KINDS] == brute.personal(text)
+
+
+def test_pii_is_linear():
+    import time
+
+    start = time.process_time()
+    for text in ("a" * 2_000_000, "1" * 2_000_000, "1." * 1_000_000, "+1" * 500_000, "a@" * 500_000, "1 - " * 500_000):
+        pii.find_spans(text)
+    assert time.process_time() - start < 60
+
+
+def test_decontamination(spark, docs, none):
+    base = dict(texts())[10].split()
+    items = [("1", " ".join(base[5:30])), ("2", " ".join(base[20:40]).upper()), ("3", "one two"), ("4", None), ("5", "!!"), ("6", "no such words here at all in any of them"), (None, " ".join(base[50:60]))]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    want = brute.leaks(texts(), [(i or "null", t) for i, t in items])
+    for block in (1 << 20, 60):  # one block, and many passes
+        hits = decontam_fm.benchmark_hits(docs, bench, block_bytes=block)
+        got = {r.doc_id: (r.n_words, r.n_hit, len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), len(r["items"]) >= 2) for r in hits.collect()}
+        assert got == want
+    assert decontam_fm.benchmark_hits(none, bench).count() == 0
+    assert decontam_fm.benchmark_hits(docs, bench.limit(0)).where("n_hit > 0").count() == 0
+    cut = decontam_fm.benchmark_hits(docs, bench, keep=("text",)).withColumn("clean", decontam_fm.without_spans(F.col("keep_text"), F.col("spans")))
+    for r in cut.where("size(spans) > 0").collect():
+        assert len(r.clean) == len(r.keep_text) - sum(s.end - s.start for s in r.spans)
+        words = decontam_fm.words_of(r.clean)
+        assert len(words) == r.n_words - r.n_hit
+
+
+def test_fm_index_locates_everything():
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    runs = [np.append(r.integers(1, 4, n), 0) for n in r.integers(1, 40, 60)]
+    text = np.concatenate(runs)
+    index = decontam_fm.FmIndex(text, 4)
+    words = r.integers(1, 4, (30, 5))
+    lengths = r.integers(1, 6, 30)
+    window, low, high = index.search(words, lengths)
+    got = {}
+    for w, p in zip(np.repeat(window, high - low), index.locate(low, high)):
+        got.setdefault(int(w), set()).add(int(p))
+    for w in range(30):
+        n = lengths[w]
+        want = {i for i in range(len(text) - n) if (text[i : i + n] == words[w, :n]).all()}
+        assert got.get(w, set()) == want
+
+
+def test_toxicity_and_interactions(spark, none):
+    r = random.Random(1)
+    rows, labels = [], []
+    for i in range(1500):
+        insult, group = r.random() < 0.5, r.random() < 0.5
+        words = [r.choice("lorem ipsum dolor sit amet consectetur".split()) for _ in range(12)] + ["fool"] * insult + ["tribe"] * group
+        r.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(insult and group)))
+    docs = frame(spark, rows)
+    labelled = spark.createDataFrame(labels, "doc_id long, toxic int")
+    out = toxicity.toxicity(docs, labelled.where("doc_id % 5 > 0")).join(labelled, "doc_id").where("doc_id % 5 = 0")
+    assert out.agg(F.avg(((F.col("score") >= 0.5).cast("int") == F.col("toxic")).cast("double"))).first()[0] > 0.98
+    empty = toxicity.toxicity(frame(spark, [(1, None), (2, ""), (None, "fool tribe")]), labelled).collect()
+    assert all(0 <= r.score <= 1 for r in empty) and len(empty) == 3
+    assert toxicity.toxicity(docs, labelled.limit(0)).where("score > 0.01").count() == 0
+    assert toxicity.toxicity(none, labelled).count() == 0
+
+
+def test_language(spark, none):
+    found = queries.op6_language(spark, SF)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    share = found.where("held_out").join(docs, "doc_id").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
+    assert share > 0.95
+    odd = frame(spark, [(1, None), (2, ""), (3, "123 !!"), (4, "the and of the"), (5, "x" * 20_000)])
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid_crf.language(odd, docs).collect()}
+    assert [got[i] for i in (1, 2, 3)] == [("und", 0.0)] * 3 and got[4][0] == "en" and 0 <= got[5][1] <= 1
+    assert langid_crf.language(odd, none).where("lang_pred != 'und'").count() == 0
+    assert langid_crf.language(none, docs).count() == 0
+
+
+def test_forward_backward_is_exact():
+    import itertools
+
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    e, t = r.normal(size=(5, 3)), r.normal(size=(3, 3))
+    want = np.zeros((5, 3))
+    for path in itertools.product(range(3), repeat=5):
+        w = np.exp(sum(e[i, p] for i, p in enumerate(path)) + sum(t[a, b] for a, b in itertools.pairwise(path)))
+        for i, p in enumerate(path):
+            want[i, p] += w
+    want /= want.sum(axis=1, keepdims=True)
+    assert np.allclose(langid_crf.forward_backward(e, t, np.array([5])), want)
+    many = r.normal(size=(400, 3))
+    joined = langid_crf.forward_backward(many, t, np.array([0, 150, 1, 249]))
+    parts = [langid_crf.forward_backward(many[a:b], t, np.array([b - a])) for a, b in ((0, 150), (150, 151), (151, 400))]
+    assert np.allclose(joined, np.concatenate(parts))
+    # Against a plain recursion over more than one block.
+    alpha, beta = [np.exp(many[0])], [np.ones(3)]
+    for i in range(1, 150):
+        a = alpha[-1] @ np.exp(t) * np.exp(many[i])
+        alpha.append(a / a.sum())
+    for i in reversed(range(1, 150)):
+        b = np.exp(t) @ (beta[-1] * np.exp(many[i]))
+        beta.append(b / b.sum())
+    plain = np.array(alpha) * np.array(beta[::-1])
+    assert np.allclose(joined[:150], plain / plain.sum(axis=1, keepdims=True))
+
+
+def test_quality(spark, none):
+    r = random.Random(4)
+    clean = lambda: " ".join(r.choice(WORDS) for _ in range(30))
+    rows = [(i, clean() if i % 4 else " ".join(w + "$$$" for w in clean().split())) for i in range(800)] + [(9000, None), (9001, "")]
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(0, 800, 2)], "doc_id long, quality int")
+    out = {r.doc_id: r.kept for r in quality_dsir.quality(frame(spark, rows), labels).collect()}
+    assert all(out[i] for i in range(800) if i % 4) and not any(out[i] for i in range(0, 800, 4))
+    assert quality_dsir.quality(frame(spark, rows), labels.limit(0)).where("kept").count() == len(rows)
+    assert quality_dsir.quality(none, labels).count() == 0
+
+
+def test_kth_largest(spark):
+    r = random.Random(7)
+    values = [round(r.random() ** 3, 3) for _ in range(3000)]
+    keys = spark.createDataFrame([(v,) for v in values], "key double")
+    for k in (1, 10, 1500, 2999):
+        assert quality_dsir.kth_largest(keys, "key", k, bins=7, rows=5) == sorted(values, reverse=True)[k - 1]
+
+
+def test_oracle(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    got = queries.op1_exact_dedup(spark, SF)
+    want = con.sql(queries.OP1_SQL)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_every_query_returns_a_row_per_document(spark, name):
+    out = queries.queries()[name](spark, SF)
+    assert out.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
