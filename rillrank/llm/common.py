@@ -6,10 +6,11 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text handled at once inside a Python worker; a single longer text is a slice of its own.
@@ -38,10 +39,11 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a scratch folder; a stopped session leaves it to the cluster's own cleaning."""
-    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+    if spark.sparkContext._jsc is None:
         return
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    with suppress(Py4JError, OSError):  # the JVM may have ended first
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
