@@ -130,6 +130,8 @@ class ByteBpeCounter:
 class WordBpeEncoder:
     """Encodes whole texts with a BPE tokenizer that lower-cases and drops white space."""
 
+    #: Its words are cached once, without a second cache of parts, so there is room for more of them.
+    CACHE_ENTRIES = 700_000
     _NOT_SPACE_THERE = ("\x1c", "\x1d", "\x1e", "\x1f")  # str.split cuts here, the tokenizer doesn't
 
     def __init__(self, serialised: str):
@@ -144,7 +146,7 @@ class WordBpeEncoder:
 
     def _learn(self, pieces: set[str]) -> None:
         new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > CACHE_ENTRIES:
+        if len(self.known) + len(new) > self.CACHE_ENTRIES:
             self._empty()
             new = list(pieces)
         found = self.pieces.ids(new)
