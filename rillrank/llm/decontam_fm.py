@@ -204,7 +204,12 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _character_spans(text: str, spans: list[tuple[int, int]]) -> list[dict[str, int]]:
+def _structs(spans: list[list[tuple[int, int]]]) -> pa.Array:
+    kind = pa.list_(pa.struct({"start": pa.int32(), "end": pa.int32()}))
+    return pa.array([[{"start": s, "end": e} for s, e in own] for own in spans], kind)
+
+
+def _character_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     ends = {e - 1 for _, e in spans}
     begins = {s for s, _ in spans}
     starts_at, ends_at = [], []
@@ -213,11 +218,11 @@ def _character_spans(text: str, spans: list[tuple[int, int]]) -> list[dict[str,
             starts_at.append(match.start())
         if number in ends:
             ends_at.append(match.end())
-    return [{"start": s, "end": e} for s, e in zip(starts_at, ends_at, strict=True)]
+    return list(zip(starts_at, ends_at, strict=True))
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """The benchmark's items in blocks of about ``block_bytes``, one on the driver at a time."""
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[bool, list[tuple[str, str]]]]:
+    """Whether it is the last, and the items, of each block of about ``block_bytes``; one is on the driver at a time."""
     items = benchmark.select(
         F.coalesce(benchmark[id_col].cast("string"), F.lit("null")).alias("id"), benchmark[text_col].alias("text")
     )
@@ -225,7 +230,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int)
     n = -(-total // block_bytes) or 1
     for block in range(n):
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == block) if n > 1 else items
-        yield [(r["id"], r["text"]) for r in rows.toLocalIterator()]
+        yield block == n - 1, [(r["id"], r["text"]) for r in rows.toLocalIterator()]
 
 
 def benchmark_hits(
@@ -263,46 +268,34 @@ def benchmark_hits(
     ):
         table = table.withColumn(column, F.expr(empty))
     out_schema = f"id {id_type}, text string{kept_schema}, n_words long, items array<string>, words array<struct<start:int,end:int>>"
-    for items in _blocks(benchmark, item_col, item_text_col, block_bytes):
+    placed_schema = f"id {id_type}{kept_schema}, n_words long, items array<string>, n_hit long, spans array<struct<start:int,end:int>>"
+    for last, items in _blocks(benchmark, item_col, item_text_col, block_bytes):
         block = spark.sparkContext.broadcast(pickle.dumps(Phrases(items, width)))
 
-        def search(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], block=block, last=last) -> Iterator[pa.RecordBatch]:
             phrases: Phrases = pickle.loads(block.value)
             for batch in slices(batches, "text", SHARD_BYTES):
-                n_words, spans, found = _shard_hits(batch.column("text").to_pylist(), phrases)
+                texts = batch.column("text").to_pylist()
+                n_words, spans, found = _shard_hits(texts, phrases)
                 names, words = batch.column("items").to_pylist(), batch.column("words").to_pylist()
+                words = [[(w["start"], w["end"]) for w in ws] for ws in words]
                 for i in spans:
-                    words[i] = [
-                        {"start": s, "end": e}
-                        for s, e in _merged([(w["start"], w["end"]) for w in words[i] or []] + spans[i])
-                    ]
-                    names[i] = sorted({*(names[i] or []), *(phrases.names[k] for k in found[i])})
+                    words[i] = _merged(words[i] + spans[i])
+                    names[i] = sorted({*names[i], *(phrases.names[k] for k in found[i])})
                 columns = dict(zip(batch.schema.names, batch.columns, strict=True))
                 columns["n_words"] = pa.array(n_words)
                 columns["items"] = pa.array(names, pa.list_(pa.string()))
-                columns["words"] = pa.array(words, pa.list_(pa.struct({"start": pa.int32(), "end": pa.int32()})))
+                del columns["words"]
+                if last:  # word spans become code points, and texts stay behind
+                    del columns["text"]
+                    columns["n_hit"] = pa.array([sum(e - s for s, e in ws) for ws in words], pa.int64())
+                    columns["spans"] = _structs([_character_spans(t, ws) if ws else [] for t, ws in zip(texts, words, strict=True)])
+                else:
+                    columns["words"] = _structs(words)
                 yield pa.RecordBatch.from_pydict(columns)
 
-        table = table.mapInArrow(search, out_schema)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", SHARD_BYTES):
-            words = batch.column("words").to_pylist()
-            texts = batch.column("text")
-            spans = [
-                _character_spans(texts[i].as_py(), [(w["start"], w["end"]) for w in ws]) if ws else []
-                for i, ws in enumerate(words)
-            ]
-            columns = {c: batch.column(c) for c in batch.schema.names if c not in ("text", "words")}
-            columns["n_hit"] = pa.array([sum(w["end"] - w["start"] for w in ws) for ws in words], pa.int64())
-            columns["spans"] = pa.array(spans, pa.list_(pa.struct({"start": pa.int32(), "end": pa.int32()})))
-            yield pa.RecordBatch.from_pydict(columns)
-
-    placed = table.mapInArrow(
-        place,
-        f"id {id_type}{kept_schema}, n_words long, items array<string>, n_hit long, spans array<struct<start:int,end:int>>",
-    )
-    return placed.select(
+        table = table.mapInArrow(search, placed_schema if last else out_schema)
+    return table.select(
         F.col("id").alias(id_col), "n_words", "n_hit", "items", "spans", *(f"keep_{c}" for c in keep)
     )
 

@@ -28,8 +28,11 @@ from pyspark.sql import functions as F
 from rillrank.llm.common import slices
 
 MARK = "▁"
-#: Entries of a worker's word cache before it is emptied.
-CACHE_ENTRIES = 300_000
+#: Entries of a worker's word and neighbour caches before they are emptied: together about 90 MB.
+CACHE_ENTRIES = 250_000
+NEIGHBOUR_ENTRIES = 400_000
+#: Bytes of text in a slice: words, ids and decoded texts of a slice are Python objects for a moment.
+SLICE_BYTES = 1 << 20
 
 _NORMAL, _UNKNOWN, _USER, _UNUSED, _BYTE = 1, 2, 4, 5, 6
 _UNIGRAM, _BPE = 1, 2
@@ -183,7 +186,7 @@ class Viterbi:
             path.reverse()
             out.append(path)
             before = word
-        if len(fits) > 4 * CACHE_ENTRIES:
+        if len(fits) > NEIGHBOUR_ENTRIES:
             fits.clear()
         return out
 
@@ -251,7 +254,7 @@ def encode_decode(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         viterbi = _viterbi(serialised.value)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE_BYTES):
             texts = batch.column("text").to_pylist()
             flat, counts = viterbi.encode(texts)
             offsets = np.concatenate([[0], np.cumsum(counts)])
