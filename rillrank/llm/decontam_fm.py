@@ -122,10 +122,8 @@ class FmIndex:
             symbols = words[window, left - 1]
             low, high = self.matrix.ranks(symbols, [low, high])
             low, high, left = self.before[symbols] + low, self.before[symbols] + high, left - 1
-            for ended in (left == 0,):
-                found = ended & (high > low)
-                done.append((window[found], low[found], high[found]))
-                alive = ~ended & (high > low)
+            found, alive = (left == 0) & (high > low), (left > 0) & (high > low)
+            done.append((window[found], low[found], high[found]))
             window, low, high, left = window[alive], low[alive], high[alive], left[alive]
         if not done:
             return (np.zeros(0, dtype=np.int64),) * 3
