@@ -1,18 +1,25 @@
 """BM25 retrieval over a postings table.
 
-Postings carry precomputed weights, so a query is a join on its distinct terms and a sum; persist them (Parquet,
-bucketed or sorted by term) before querying at scale.
+Postings carry precomputed weights, so a query is a sum over the lists of its distinct terms; persist them
+(Parquet) before querying at scale.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rillrank.config import BM25_B, BM25_K1
 from rillrank.functions.columns import tokens
 
+#: Postings of a block of documents, and query terms of a group of queries, that top_k holds at once.
+BLOCK_POSTINGS = 2 << 20
+GROUP_TERMS = 4 << 20
+
 
 def postings(texts: DataFrame, *, id_col: str = "article_id", text_col: str = "text", k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
     """``id_col, term, tf, df, weight``; documents without tokens count in the number and mean length of documents."""
@@ -45,12 +52,72 @@ def history_queries(clicks: DataFrame, texts: DataFrame, *, id_col: str, n_recen
 
 
 def top_k(terms: DataFrame, index: DataFrame, k: int, *, query_col: str = "query_id", id_col: str = "article_id") -> DataFrame:
-    """``query_col, id_col, score, rank``: the best documents that share a term with the query."""
-    scores = terms.join(index, "term").groupBy(query_col, id_col).agg(F.sum("weight").alias("score"))
+    """``query_col, id_col, score, rank``: the best documents that share a term with the query, by exact scan.
+
+    Blocks of whole documents (about BLOCK_POSTINGS postings) meet groups of queries, each packed into one row; a block
+    sums each query's posting lists into an array and keeps its own k best, and the k best of these are the result.
+    Rows are queries times blocks, never pairs of query and document.
+    """
+    count = max(-(-index.count() // BLOCK_POSTINGS), 1)
+    parts = max(-(-terms.count() // GROUP_TERMS), 1)
+    packed = terms.groupBy(F.col(query_col).alias("q")).agg(F.collect_list("term").alias("words"))
+    asked = packed.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(parts))).withColumn("block", F.explode(_upto(count)))
+    blocks = index.select(F.col(id_col).alias("d"), "term", "weight")
+    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("d"), F.lit(count))).withColumn("part", F.explode(_upto(parts)))
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        lists = left.column("words").combine_chunks()
+        words = pc.list_flatten(lists)
+        known = words.unique()
+        asked_at = pc.index_in(words, known).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        at = pc.index_in(right.column("term"), known)
+        right = right.filter(pc.is_valid(at))
+        term = at.drop_null().to_numpy()
+        coded = right.column("d").combine_chunks().dictionary_encode("encode")
+        # Documents are numbered in the order of their ids.
+        in_order = pc.array_sort_indices(coded.dictionary, null_placement="at_start").to_numpy()
+        number = np.empty(len(in_order), dtype=np.intp)
+        number[in_order] = np.arange(len(in_order))
+        doc, weight = number[coded.indices.to_numpy()], right.column("weight").to_numpy()
+        order = np.lexsort((doc, term))
+        doc, weight = doc[order], weight[order]
+        bounds = np.searchsorted(term[order], np.arange(len(known) + 1))
+        queries, docs, sums, start = [], [], [], 0
+        for q, end in enumerate(ends):
+            own = np.sort(asked_at[start:end])
+            start = end
+            spans = [slice(x, y) for x, y in zip(bounds[own].tolist(), bounds[own + 1].tolist(), strict=True)]
+            held = np.concatenate([doc[x] for x in spans])
+            scores = np.bincount(held, np.concatenate([weight[x] for x in spans]), len(number))
+            # Weights are above 0, so a document that shares a term has a sum above 0.
+            hit = np.flatnonzero(scores)
+            if len(hit) > k:
+                rounded = np.round(scores[hit], 9)
+                least = np.partition(rounded, len(hit) - k)[len(hit) - k]
+                above = hit[rounded > least]
+                hit = np.concatenate([above, hit[rounded == least][: k - len(above)]])
+            queries.append(np.full(len(hit), q))
+            docs.append(in_order[hit])
+            sums.append(scores[hit])
+        flat = [np.concatenate(x) if x else np.zeros(0) for x in (queries, docs, sums)]
+        return pa.table({
+            "q": left.column("q").combine_chunks().take(pa.array(flat[0].astype(np.int64))),
+            "d": coded.dictionary.take(pa.array(flat[1].astype(np.int64))), "score": pa.array(flat[2], pa.float64()),
+        })
+
+    types = {"q": terms.schema[query_col].dataType.simpleString(), "d": index.schema[id_col].dataType.simpleString()}
+    scores = asked.groupBy("block", "part").cogroup(blocks.groupBy("block", "part")).applyInArrow(
+        best, f"q {types['q']}, d {types['d']}, score double"
+    ).select(F.col("q").alias(query_col), F.col("d").alias(id_col), "score")
     at = Window.partitionBy(query_col).orderBy(F.desc(F.round("score", 9)), id_col)
     return scores.withColumn("rank", F.row_number().over(at)).where(F.col("rank") <= k)
 
 
+def _upto(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+
+
 def score_pairs(pairs: DataFrame, terms: DataFrame, index: DataFrame, *, query_col: str, out: str = "bm25_score") -> DataFrame:
     """Adds the score of each (query, article) pair of rows; 0 for unknown articles and queries without a match."""
     scores = (

@@ -356,8 +356,8 @@ SELECT query_id, article_id, rk AS rank, {r6('score')} AS score FROM (SELECT *,
   SELECT q.article_id AS query_id, p.article_id, sum(weight) AS score FROM dpstt q JOIN dpst p USING (term) WHERE q.article_id IN ('1', '19', '34', '41') GROUP BY ALL)) WHERE rk <= 20"""))
 def bm25_topk(s: SparkSession, d: str) -> DataFrame:
     docs = adapters.corpus(s, d)
-    # Four documents as queries; the whole corpus is searched.
-    asked = docs.where(F.col("article_id").isin("1", "19", "34", "41")).withColumnRenamed("article_id", "query_id")
+    # Every document whose id is divisible by 50 is a query; the whole corpus is searched.
+    asked = docs.where(F.col("article_id").cast("long") % 50 == 0).withColumnRenamed("article_id", "query_id")
     found = bm25.top_k(bm25.query_terms(asked), written(bm25.postings(docs), "postings"), 20)
     return _rounded(found.select("query_id", "article_id", F.col("rank").cast("long").alias("rank"), "score"), "score")
 

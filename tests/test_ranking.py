@@ -57,6 +57,37 @@ def test_bm25_unknown_and_empty(spark):
         ("q", "1", True), ("q", "9", False), ("r", "1", False)]
 
 
+def test_bm25_topk_asks_every_fiftieth_document(spark, tmp_path, monkeypatch):
+    import math
+    import random
+    from collections import Counter
+
+    from rillrank.queries import QUERIES
+
+    r = random.Random(5)
+    texts = {i: " ".join(f"w{int(r.expovariate(0.1))}" for _ in range(r.randrange(1, 40))) for i in range(2, 202)}
+    texts[100], texts[3] = None, texts[50]  # a query without terms, and a copy that ties with a query
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(bm25, "BLOCK_POSTINGS", 500)
+    monkeypatch.setattr(bm25, "GROUP_TERMS", 30)
+    words = {i: (t or "").split() for i, t in texts.items()}
+    df = Counter(w for ws in words.values() for w in set(ws))
+    mean = sum(map(len, words.values())) / len(words)
+    want = {}
+    for q in (i for i in words if i % 50 == 0):
+        scores = {}
+        for i, ws in words.items():
+            tf = Counter(ws)
+            shared = sorted(set(words[q]) & set(ws))
+            if shared:
+                norm = 1.5 * (0.25 + 0.75 * len(ws) / mean)
+                scores[str(i)] = sum(math.log((len(words) - df[w] + 0.5) / (df[w] + 0.5) + 1) * tf[w] * 2.5 / (tf[w] + norm) for w in shared)
+        for rank, (i, score) in enumerate(sorted(scores.items(), key=lambda x: (-round(x[1], 9), x[0]))[:20], 1):
+            want[str(q), i] = (rank, pytest.approx(score, abs=2e-6))
+    got = {(x.query_id, x.article_id): (x["rank"], x.score) for x in QUERIES["bm25_topk"](spark, str(tmp_path)).collect()}
+    assert {q for q, _ in got} == {"50", "150", "200"} and got == want
+
+
 def test_dense_top_k_keeps_negatives_in_blocks(spark, monkeypatch):
     random = np.random.default_rng(1)
     vec = random.normal(size=(50, 8))
