@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rillrank.llm.common import slices
 
@@ -220,22 +221,47 @@ def fit(
     return field
 
 
+def cut_at(sizes: list[int], budget: int) -> int:
+    """The largest length that texts can be cut at so that together they fit the budget (the shorter ones whole)."""
+    left, n = budget, len(sizes)
+    for size in sorted(sizes):
+        if size * n > left:
+            return left // n
+        left, n = left - size, n - 1
+    return max(sizes, default=0)
+
+
 def train(
     docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, rows: int, max_bytes: int, bits: int
 ) -> LanguageField:
-    """Fit on at most ``rows`` labelled documents and ``max_bytes`` of text, chosen by the hash of their ids."""
+    """Fit on a sample of every language, chosen by the hash of ids: equal shares of ``rows`` and ``max_bytes``.
+
+    A language has at least one document in the sample.  Where its documents exceed its bytes, the longest ones are
+    cut at the largest common length that fits, so no document shuts out another.
+    """
     labelled = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
     labelled = labelled.where("text is not null and lang is not null and id is not null")
-    sizes = (
-        labelled.select("id", F.octet_length("text").alias("size"), F.xxhash64("id").alias("h"))
-        .orderBy("h", "id", "size").limit(rows).collect()
-    )
-    held = np.cumsum([r["size"] for r in sizes])
-    chosen = sorted({r["id"] for r, upto in zip(sizes, held, strict=True) if upto <= max_bytes})
+    labelled = labelled.withColumn("size", F.octet_length("text"))
+    languages = labelled.select("lang").distinct().count()
+    # One language alone has nothing to be told from; from two on, a share of 2,000 is within Spark's limit per window.
+    share = max(rows // max(languages, 2), 1)
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "size")
+    sizes: dict[str, list] = {}
+    for r in (
+        labelled.select("id", "lang", "size").withColumn("at", F.row_number().over(order)).where(F.col("at") <= share).collect()
+    ):
+        sizes.setdefault(r["lang"], []).append(r)
+    chosen = []
+    for held in sizes.values():
+        cut = max(cut_at([r["size"] for r in held], max_bytes // len(sizes)), 1)
+        chosen += sorted({(r["id"], r["lang"], r["size"], min(r["size"], cut)) for r in held})
     spark = docs.sparkSession
-    # At most ``rows`` ids: bounded whatever the table's size.
-    ids = spark.createDataFrame([(i,) for i in chosen], f"id {docs.schema[id_col].dataType.simpleString()}")
-    sample = sorted(tuple(r) for r in labelled.join(F.broadcast(ids), "id").select("id", "lang", "text").collect())
+    # At most ``rows`` ids (one a language at least): bounded whatever the table's size.
+    keys = spark.createDataFrame(chosen, f"id {docs.schema[id_col].dataType.simpleString()}, lang string, size int, cut int")
+    found = labelled.join(F.broadcast(keys), ["id", "lang", "size"]).select(
+        "id", "lang", F.expr("substring(cast(text as binary), 1, cut)").alias("head")
+    ).distinct()
+    sample = sorted((r["id"], r["lang"], bytes(r["head"]).decode("utf-8", "ignore")) for r in found.collect())
     return fit([r[2] for r in sample], [r[1] for r in sample], bits=bits)
 
 

@@ -260,6 +260,21 @@ def test_language(spark, none):
     assert langid_crf.language(none, docs).count() == 0
 
 
+def test_language_sample_keeps_every_language(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null and text is not null").select("doc_id", "text", "lang")
+    bounds = dict(id_col="doc_id", text_col="text", lang_col="lang", bits=12)
+    names = sorted(r.lang for r in docs.select("lang").distinct().collect())
+    # Every text is beyond the bytes.
+    long = docs.where("length(text) > 100").withColumn("text", F.repeat("text", 20))
+    field = langid_crf.train(long, rows=100, max_bytes=2000, **bounds)
+    assert field.languages == names and len(field.lexicon)
+    # One document of a language among many of the others.
+    rare = docs.unionByName(frame(spark, [(10**9, "zorg blik znarf quux " * 50)]).select("doc_id", "text", F.lit("zz").alias("lang")))
+    model = langid_crf.language(frame(spark, [(1, "blik quux zorg znarf")]), rare, rows=20, bits=12)
+    assert model.first().lang_pred == "zz"
+    assert [langid_crf.cut_at(*x) for x in (([5, 9, 100], 30), ([5, 9], 30), ([50], 30), ([], 30), ([9, 9], 2))] == [16, 9, 30, 0, 1]
+
+
 def test_forward_backward_is_exact():
     import itertools
 
