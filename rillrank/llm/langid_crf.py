@@ -63,11 +63,14 @@ def affix_features(words: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(rows), np.concatenate(buckets)
 
 
-def forward_backward(emissions: np.ndarray, transitions: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def forward_backward(
+    emissions: np.ndarray, transitions: np.ndarray, counts: np.ndarray, expected: np.ndarray | None = None
+) -> np.ndarray:
     """Posteriors of every word: exact, in blocks of words so that a long text takes few sequential steps.
 
     Each block's product of transition-emission matrices is formed for all blocks at once; a scan over the blocks of
     each text gives what enters a block from the left and the right; then all blocks run forward and backward at once.
+    ``expected``, if given, is a matrix to which the marginals of all pairs of neighbouring words are added.
     """
     labels = emissions.shape[1]
     n_blocks = -(-counts // BLOCK)
@@ -113,6 +116,11 @@ def forward_backward(emissions: np.ndarray, transitions: np.ndarray, counts: np.
         alpha[:, t] = carried
     carried = right
     for t in reversed(range(BLOCK)):
+        if expected is not None:
+            pair = present[:, t] & ((within > 0) | (t > 0))
+            before, after = (alpha[:, t - 1] if t else left)[pair], (padded[:, t] * carried)[pair]
+            mass = ((before @ step) * after).sum(axis=1, keepdims=True)
+            expected += step * ((before / mass).T @ after)
         alpha[:, t] *= carried
         moved = (carried * padded[:, t]) @ step.T
         moved /= moved.sum(axis=1, keepdims=True)
@@ -203,11 +211,9 @@ def fit(
         emissions = np.stack([np.bincount(owner, w, len(distinct)) for w in field.weights.T[:, bucket]], axis=1)
         emissions[frequent] += field.lexicon_weights
         emissions = emissions[index]
-        posterior = forward_backward(emissions, field.transitions, pieces)
+        expected = np.zeros((n_labels, n_labels))
+        posterior = forward_backward(emissions, field.transitions, pieces, expected)
         error = np.stack([np.bincount(index, e, len(distinct)) for e in (posterior - onehot).T], axis=1)
-        # Expected transitions, from neighbouring posteriors weighted by the transition (normalised per position).
-        both = posterior[inner - 1, :, None] * posterior[inner, None, :] * np.exp(field.transitions)
-        expected = (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
         gradients = [
             np.stack([np.bincount(bucket, e[owner], 1 << bits) for e in error.T], axis=1),
             error[frequent],

@@ -305,6 +305,39 @@ def test_forward_backward_is_exact():
     assert np.allclose(joined[:150], plain / plain.sum(axis=1, keepdims=True))
 
 
+def test_expected_transitions_are_the_slope():
+    """The slope of the log of the sum over all paths, by a plain recursion over more than two blocks."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    counts = np.array([0, 150, 1, 49])
+    e, t = r.normal(size=(200, 3)), r.normal(size=(3, 3))
+
+    def log_sum(t):
+        total = 0.0
+        for a, b in ((0, 150), (150, 151), (151, 200)):
+            at = e[a]
+            for x in e[a + 1 : b]:
+                at = np.logaddexp.reduce(at[:, None] + t, axis=0) + x
+            total += np.logaddexp.reduce(at)
+        return total
+
+    want = np.zeros((3, 3))
+    for i in range(3):
+        for j in range(3):
+            d = np.zeros((3, 3))
+            d[i, j] = 1e-5
+            want[i, j] = (log_sum(t + d) - log_sum(t - d)) / 2e-5
+    got = np.zeros((3, 3))
+    langid_crf.forward_backward(e, t, counts, got)
+    assert np.allclose(got, want, atol=1e-4) and np.isclose(got.sum(), 149 + 48)
+    # What fitting learns has no slope left: an equal number of words of two languages that share all words.
+    field = langid_crf.fit(["same words here"] * 8, ["a", "b"] * 4, bits=6, rounds=300, penalty=0.0)
+    pairs = np.zeros((2, 2))
+    langid_crf.forward_backward(np.zeros((24, 2)), field.transitions, np.full(8, 3), pairs)
+    assert np.allclose(pairs, np.eye(2) * 8, atol=0.5)
+
+
 def test_quality(spark, none):
     r = random.Random(4)
     clean = lambda: " ".join(r.choice(WORDS) for _ in range(30))
