@@ -1,8 +1,8 @@
 """Corpus pipeline: quality filter, exact dedup, near-dedup, benchmark decontamination, SentencePiece encoding.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all rows its predecessor kept; all but the last return the
-columns of ``documents``.  Decisions are joined back by anti-joins on the id, so only ids move to decide, and rows with
-a null id are never lost to the join.
+columns of ``documents``.  Decisions are joined back by anti-joins on a key of each row's own, so only keys move to
+decide, and rows with a null or repeated id are dropped for their own content only.
 """
 
 from __future__ import annotations
@@ -19,28 +19,50 @@ from rillrank.llm.quality_dsir import quality
 from rillrank.llm.sentencepiece_viterbi import encode_decode
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id isn't in ``dropped``."""
-    ids = dropped.select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["dropped_id"]), "left_anti")
+#: Keys of rows that can't go by their id start here, above the ids in use.
+_EXTRA = 1 << 62
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``docs`` with a ``row_key`` that only rows of one id and text share, and whether any id is null or repeated.
+
+    The key is the id; rows with a null id, and all texts but one of a repeated id, get a 61-bit hash of id and text.
+    """
+    counts = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    if counts.where("n > 1 or doc_id is null").isEmpty():
+        return docs.withColumn("row_key", F.col("doc_id")), False
+    firsts = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("first_id")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.xxhash64("text")).alias("first")
+    ).where("n > 1").drop("n")
+    extra = F.xxhash64("doc_id", "text").bitwiseAND(F.lit(_EXTRA // 2 - 1)) + F.lit(_EXTRA)
+    own = F.col("doc_id").isNotNull() & (F.col("first").isNull() | (F.col("first") == F.xxhash64("text")))
+    joined = docs.join(firsts, docs["doc_id"] == firsts["first_id"], "left")
+    return joined.select(*(docs[c] for c in docs.columns), F.when(own, docs["doc_id"]).otherwise(extra).alias("row_key")), True
+
+
+def _without(keyed: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows whose key isn't in ``dropped``, without the key."""
+    return keyed.join(dropped.select("row_key").distinct(), "row_key", "left_anti").drop("row_key")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance resampling rejects go."""
-    judged = quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, judged.where(~F.col("kept")))
+    keyed, _ = _keyed(docs)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumnRenamed("doc_id", "row_key")
+    return _without(keyed, quality(keyed, labels, id_col="row_key").where(~F.col("kept")))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each content stays; of rows that repeat an id and a text one stays."""
-    kept = _without(docs, exact_groups(docs).where(~F.col("kept")))
-    repeats = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return kept if repeats.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    keyed, repeats = _keyed(docs)
+    kept = _without(keyed, exact_groups(keyed, id_col="row_key").where(~F.col("kept")))
+    return kept.dropDuplicates(["doc_id", "text"]) if repeats else kept
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, similarity 0.8 or more) stays."""
-    return _without(docs, near_duplicates(docs, percent=80).where(~F.col("kept")))
+    keyed, _ = _keyed(docs)
+    return _without(keyed, near_duplicates(keyed, percent=80, id_col="row_key").where(~F.col("kept")))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,3 +61,32 @@ def test_awkward_rows(spark):
     for _, stage in pipeline.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def kept_by(stage, spark, pairs):
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in pairs], SCHEMA)
+    out = stage(spark, docs, SF)
+    assert out.columns == docs.columns
+    return sorted(rows(out), key=repr)
+
+
+def test_null_and_repeated_ids_are_judged_by_their_own_text(spark):
+    pairs = [(1, "a"), (None, "a"), (None, "b"), (3, "a"), (3, "c"), (3, "c"), (None, "d"), (None, "d")]
+    want = [(1, "a"), (None, "b"), (3, "c"), (None, "d")]
+    assert kept_by(pipeline.exact_stage, spark, pairs) == sorted(want, key=repr)
+    base = " ".join(f"word{i}" for i in range(200))
+    other, third = base.replace("word", "term"), base.replace("word", "name")
+    pairs = [(1, base), (5, base + " end"), (5, other), (None, base + " more"), (None, third)]
+    assert kept_by(pipeline.near_stage, spark, pairs) == sorted([(1, base), (5, other), (None, third)], key=repr)
+
+
+def test_quality_of_null_and_repeated_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    judged = pipeline.quality(docs, spark.read.parquet(f"{SF}/labels.parquet")).join(docs, "doc_id").orderBy("log_weight").collect()
+    bad, good = judged[0].text, judged[-1].text
+    more = spark.createDataFrame([(i, t, "en", "s", len(t)) for i in (None, 10**7) for t in (bad, good)], SCHEMA)
+    out = pipeline.quality_stage(spark, docs.unionByName(more.select(docs.columns)), SF)
+    assert sorted(rows(out.where(f"doc_id is null or doc_id = {10**7}")), key=repr) == sorted([(None, good), (10**7, good)], key=repr)
