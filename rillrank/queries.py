@@ -565,11 +565,15 @@ def _ranking_table(s: SparkSession, d: str) -> DataFrame:
     return written(table.withColumn("row_id", F.concat_ws(":", *keys)), "ranking")
 
 
+def _ranker(table: DataFrame) -> rerank.Ranker:
+    return rerank.train_ranker(table.where("split = 'train'"), trees=10, rate=0.2)
+
+
 @_query("rerank_lambdamart")
 def rerank_lambdamart(s: SparkSession, d: str) -> DataFrame:
     """Mean test metrics before and after reranking; ten trees keep the query short, the operator's default is 200."""
     table = metrics.cap_top_k(_ranking_table(s, d), "semantic_score", config.STAGE1_K)
-    ranker = rerank.train_ranker(table.where("split = 'train'"), trees=10, rate=0.2)
+    ranker = _ranker(table)
     scored = ranker.score(table.where("split = 'test'"))
     parts = [
         metrics.evaluate_scores(scored, c).withColumn("stage", F.lit(n)) for n, c in (("before", "semantic_score"), ("after", "rank_score"))
@@ -597,11 +601,13 @@ def user_store(s: SparkSession, d: str) -> DataFrame:
 
 @_query("serve_batch")
 def serve_batch(s: SparkSession, d: str) -> DataFrame:
+    """Every user's reranked candidates; the ranker is the one of rerank_lambdamart (ten trees)."""
     shown, arts = _imp(s, d), adapters.articles(s, d)
     users = written(serving.user_store(_users(s, d), bh.recent_attributes(_clicks(s, d), arts)), "users")
     now = shown.agg(F.max("us")).first()[0]
+    ranker = _ranker(metrics.cap_top_k(_ranking_table(s, d), "semantic_score", config.STAGE1_K))
     return serving.serve_batch(
-        users, _texts(s, d), _index(s, d), adapters.vectors(s, d), serving.article_store(arts, shown), submit.position_prior(shown), now_us=now
+        users, _texts(s, d), _index(s, d), adapters.vectors(s, d), serving.article_store(arts, shown), submit.position_prior(shown), ranker, now_us=now
     )
 
 

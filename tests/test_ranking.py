@@ -100,6 +100,19 @@ def test_dense_top_k_keeps_negatives_in_blocks(spark, monkeypatch):
     assert [r.article_id for r in out] == [str(i) for i in want] and out[0].article_id == "7" and out[-1].score < 0
 
 
+def test_serve_batch_serves_in_the_rankers_order(spark):
+    from rillrank.queries import QUERIES
+
+    served = {}
+    for r in QUERIES["serve_batch"](spark, "/root/testdata/sf0.001").select("who", "retrieval_rank", "rank_score", "rank").collect():
+        served.setdefault(r.who, []).append((r["rank"], -r.rank_score, r.retrieval_rank))
+    for rows in served.values():
+        rows.sort()
+        assert [r[0] for r in rows] == list(range(1, len(rows) + 1)) and [r[1:] for r in rows] == sorted(r[1:] for r in rows)
+    # The second stage changes the order of retrieval.
+    assert any([r[2] for r in rows] != sorted(r[2] for r in rows) for rows in served.values())
+
+
 def test_beyond_accuracy(spark):
     lists = spark.createDataFrame([("i", "a"), ("i", "b"), ("j", "a")], "impression_id string, article_id string")
     vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "article_id string, vec array<double>")
