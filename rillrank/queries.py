@@ -632,7 +632,7 @@ _VOCAB = "(SELECT term, CAST(row_number() OVER (ORDER BY sum(tf) DESC, term) + 1
 
 @_query("vocab", query("dpstt", f"SELECT * FROM {_VOCAB}"))
 def vocab(s: SparkSession, d: str) -> DataFrame:
-    return nrms.vocabulary(adapters.corpus(s, d), size=1000, text_col="text")
+    return nrms.vocabulary(adapters.corpus(s, d), text_col="text")
 
 
 @_query("encode_titles", query("dpstt dpstw", f"""

@@ -179,6 +179,16 @@ def test_vocabulary_and_titles(spark):
     assert out == {"1": [2, 1, 2], "2": [1, 1, 3], "3": [0, 0, 0]}
 
 
+def test_registered_vocabulary_holds_more_than_a_thousand_terms(spark, tmp_path):
+    from rillrank.queries import QUERIES
+
+    rows = [(i, f"w{i:04d}") for i in range(1500)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert QUERIES["vocab"](spark, str(tmp_path)).count() == 1500
+    ids = {r.ids.split(",")[0] for r in QUERIES["encode_titles"](spark, str(tmp_path)).collect()}
+    assert ids == {str(i) for i in range(2, 1502)}
+
+
 def test_nrms_guards_and_learns():
     model = nrms.Nrms(10, 3, width=16, heads=4)
     assert np.isfinite(model.encode_news(np.zeros((3, 10), int), np.zeros(3, int)).value).all()
