@@ -13,12 +13,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillrank.llm.common import slices
+from rillrank.llm.common import slices, written
 
 #: Bytes that aren't part of a word become spaces.
 _WORDS = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -82,32 +83,31 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(margins, -40, 40)))
 
 
+def told_apart(with_1: np.ndarray, with_0: np.ndarray, positives: float, negatives: float) -> np.ndarray:
+    """How far a term's presence tells the labels apart, in standard errors; 0 for terms of fewer than three rows."""
+    p1, p0 = (with_1 + 0.5) / (positives + 1), (with_0 + 0.5) / (negatives + 1)
+    told = np.abs(np.log(p1 / p0)) / np.sqrt(1 / (with_1 + 0.5) + 1 / (with_0 + 0.5))
+    return np.where(with_1 + with_0 < 3, 0, told)
+
+
+def bias_only(bits: int, rank: int, share: float) -> FactorizationMachine:
+    """A machine without terms: every text scores the share of the label."""
+    share = min(max(share, 1e-6), 1 - 1e-6)
+    return FactorizationMachine(bits, {}, float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, rank)))
+
+
 def fit(
-    documents: list[np.ndarray], labels: np.ndarray, positive_share: float, *, bits: int, keep: int, rank: int,
+    documents: list[np.ndarray], labels: np.ndarray, positive_share: float, chosen: np.ndarray, *, bits: int, rank: int,
     rounds: int = 200, rate: float = 0.05, penalty: float = 2e-3, seed: int = 0,
 ) -> FactorizationMachine:
-    """Fit on the term sets of a (class-balanced) sample; the bias is set back to the share in all training rows."""
-    share = min(max(positive_share, 1e-6), 1 - 1e-6) if len(labels) else 1e-6
-    none = FactorizationMachine(bits, {}, float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, rank)))
-    if not len(labels) or labels.min() == labels.max():
-        return none
+    """Fit on the term numbers (places in ``chosen``, sorted buckets) of a sample; the bias is set back to the share in
+    all training rows."""
+    share = min(max(positive_share, 1e-6), 1 - 1e-6)
     row = np.repeat(np.arange(len(documents)), [len(d) for d in documents])
-    bucket = np.concatenate(documents).astype(np.int64)
-    positives, negatives = labels.sum(), (1 - labels).sum()
-    with_1 = np.bincount(bucket, labels[row], 1 << bits)
-    with_0 = np.bincount(bucket, 1 - labels[row], 1 << bits)
-    p1, p0 = (with_1 + 0.5) / (positives + 1), (with_0 + 0.5) / (negatives + 1)
-    told = np.abs(np.log(p1 / p0)) / np.sqrt(1 / (with_1 + 0.5) + 1 / (with_0 + 0.5))
-    told[with_1 + with_0 < 3] = 0
-    chosen = np.sort(np.argsort(-told, kind="stable")[:keep])
-    chosen = chosen[told[chosen] > 2]
-    place = np.full(1 << bits, -1)
-    place[chosen] = np.arange(len(chosen))
-    inside = place[bucket] >= 0
-    row, column = row[inside], place[bucket[inside]]
+    column = np.concatenate(documents).astype(np.int64)
     random = np.random.default_rng(seed)
     weights, factors, bias = np.zeros(len(chosen)), random.normal(0, 0.01, (len(chosen), rank)), 0.0
-    sample_odds = np.log(positives / negatives)
+    sample_odds = np.log(labels.sum() / (1 - labels).sum())
     n = len(labels)
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (np.zeros(1), weights, factors)]
     for step in range(1, rounds + 1):
@@ -135,21 +135,22 @@ def fit(
     return FactorizationMachine(bits, {int(b): i for i, b in enumerate(chosen)}, bias, weights, factors)
 
 
-def train(
-    docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, per_class: int, bits: int,
-    keep: int, rank: int,
-) -> FactorizationMachine:
-    """Fit on at most ``per_class`` labelled rows of each class, chosen by the hash of their ids."""
-    rated = labels.where(labels[id_col].isNotNull() & labels[label_col].isNotNull())
-    rated = rated.groupBy(rated[id_col].alias("id")).agg(F.max(rated[label_col].cast("int")).alias("label"))
-    sizes = {r["label"]: r["n"] for r in rated.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    # Each task sends its own first rows only, so that a class isn't gathered in one task.
-    by_hash = [rated.where(kind).orderBy(F.xxhash64("id"), "id").limit(per_class) for kind in ("label > 0", "label <= 0")]
-    chosen = by_hash[0].union(by_hash[1])
+def sampled_rows(
+    docs: DataFrame, rated: DataFrame, *, id_col: str, text_col: str, per_class: int, bits: int
+) -> DataFrame:
+    """``id, label, terms``: term sets of at most ``per_class`` rows a class, the first by hash; equal rows count once.
+
+    First ids are chosen, then rows of these ids, so that an id that many rows carry doesn't add to the sample.
+    """
+
+    def first(rows: DataFrame, *order: str | F.Column) -> DataFrame:
+        # Each task sends its own first rows only, so that a class isn't gathered in one task.
+        parts = [rows.where(kind).orderBy(*order).limit(per_class) for kind in ("label > 0", "label <= 0")]
+        return parts[0].union(parts[1])
+
     # At most 2 * per_class ids: bounded whatever the tables' size.
-    sample = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(
-        F.broadcast(chosen.select("id", "label")), "id"
-    )
+    chosen = first(rated, F.xxhash64("id"), "id")
+    sample = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(chosen), "id")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -159,17 +160,67 @@ def train(
                 hashed = np.unique(np.array([t for w in distinct for t in terms_of(w, bits)], dtype=np.int32))
                 found.append(hashed.tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").cast(pa.string()), batch.column("label"), pa.array(found, pa.binary())],
-                ["id", "label", "terms"],
+                [batch.column("id"), batch.column("label"), pa.array(found, pa.binary())], ["id", "label", "terms"]
             )
 
-    rows = sorted(sample.mapInArrow(terms, "id string, label int, terms binary").collect())
-    rows = rows[: 2 * per_class]  # more only where ids repeat
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = written(sample.mapInArrow(terms, f"id {kind}, label int, terms binary"), "terms")
+    keyed = found.withColumn("key", F.xxhash64("id", "terms"))
+    # Keys of at most 2 * per_class rows.
+    keys = first(keyed.select("id", "label", "key").distinct(), "key", "id")
+    return keyed.join(F.broadcast(keys), ["id", "label", "key"]).drop("key").distinct()
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, per_class: int, bits: int,
+    keep: int, rank: int,
+) -> FactorizationMachine:
+    """Fit on at most ``per_class`` labelled rows of each class, chosen by hash.
+
+    The driver gets the ``keep`` best buckets and, of each sampled row, the numbers of those it holds: at most
+    ``4 * per_class * keep`` bytes, however long the texts are.
+    """
+    rated = labels.where(labels[id_col].isNotNull() & labels[label_col].isNotNull())
+    rated = rated.groupBy(rated[id_col].alias("id")).agg(F.max(rated[label_col].cast("int")).alias("label"))
+    total, positive = rated.agg(F.count(F.lit(1)), F.count(F.when(F.col("label") > 0, 1))).first()
+    share = positive / max(total, 1)
+    rows = written(sampled_rows(docs, rated, id_col=id_col, text_col=text_col, per_class=per_class, bits=bits), "sample")
+    n, positives = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("label") > 0, 1))).first()
+    if not positives or positives == n:
+        return bias_only(bits, rank, share)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros((2, 1 << bits), dtype=np.int32)
+        for batch in batches:
+            for label, terms in zip(batch.column("label").to_pylist(), batch.column("terms").to_pylist(), strict=True):
+                totals[int(label > 0), np.frombuffer(terms, dtype=np.int32)] += 1
+        seen = np.flatnonzero(totals.any(axis=0))
+        columns = [pa.array(seen.astype(np.int32)), pa.array(totals[1, seen]), pa.array(totals[0, seen])]
+        yield pa.RecordBatch.from_arrays(columns, ["bucket", "with_1", "with_0"])
+
+    counts = rows.select("label", "terms").mapInArrow(count, "bucket int, with_1 int, with_0 int").groupBy("bucket").agg(
+        F.sum("with_1").alias("with_1"), F.sum("with_0").alias("with_0")
+    )
+
+    @F.pandas_udf("double")
+    def told(with_1: pd.Series, with_0: pd.Series) -> pd.Series:
+        return pd.Series(told_apart(with_1.to_numpy(float), with_0.to_numpy(float), positives, n - positives))
+
+    best = counts.withColumn("told", told("with_1", "with_0")).where("told > 2").orderBy(F.desc("told"), "bucket").limit(keep)
+    chosen = np.sort(np.array([r["bucket"] for r in best.select("bucket").collect()], dtype=np.int32))
+    if not len(chosen):
+        return bias_only(bits, rank, share)
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.searchsorted(chosen, np.intersect1d(np.frombuffer(t, dtype=np.int32), chosen, assume_unique=True)) for t in batch.column("terms").to_pylist()]
+            columns = [batch.column("id").cast(pa.string()), batch.column("label"), pa.array([h.astype(np.uint16).tobytes() for h in held], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "label", "terms"])
+
+    sample = sorted(rows.mapInArrow(narrow, "id string, label int, terms binary").collect())
     return fit(
-        [np.frombuffer(r["terms"], dtype=np.int32) for r in rows],
-        np.array([float(r["label"] > 0) for r in rows]),
-        sum(n for label, n in sizes.items() if label > 0) / max(sum(sizes.values()), 1),
-        bits=bits, keep=keep, rank=rank,
+        [np.frombuffer(r["terms"], dtype=np.uint16) for r in sample], np.array([float(r["label"] > 0) for r in sample]), share,
+        chosen, bits=bits, rank=rank,
     )
 
 
@@ -179,11 +230,13 @@ def toxicity(
 ) -> DataFrame:
     """``id_col, score`` per row: the probability that the whole text is toxic.
 
-    ``labels`` (ids and 0/1 labels) are what may be learned from; only these rows' texts train the model.
-    The scoring pass is map-only; the model (at most ``keep`` terms) is broadcast.
+    ``labels`` (ids and 0/1 labels) are what may be learned from; only these rows' texts train the model: at most
+    ``per_class`` rows a class, the first by hash.  The scoring pass is map-only; the model (at most ``keep`` terms, below
+    65,536) is broadcast.
 
     Edge cases: null, empty and wordless texts get the score of the bias alone; a document labelled twice counts as
-    toxic if any label says so; null labels are left out; without labels of both classes every score is the share of
+    toxic if any label says so; null labels are left out; rows that repeat an id with other texts are rows of their own
+    within ``per_class``, and a score of exactly 0.5 counts as predicted; without labels of both classes every score is the share of
     toxic ones; an empty table gives an empty result; other columns are ignored.
     """
     machine = train(
