@@ -25,6 +25,12 @@ from rillrank.llm.common import slices
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Words of a block of the blocked forward-backward pass.
 BLOCK = 64
+#: Chains up to this length aren't cut into blocks.
+WHOLE = 256
+#: Words x labels that a forward-backward pass holds at once (about 50 MB), one chain at least.
+CELLS = 1 << 20
+#: Distinct training words whose n-grams are hashed and summed at once.
+WORD_BLOCK = 16_384
 UNDETERMINED = "und"
 
 
@@ -73,62 +79,71 @@ def forward_backward(
     ``expected``, if given, is a matrix to which the marginals of all pairs of neighbouring words are added.
     """
     labels = emissions.shape[1]
-    n_blocks = -(-counts // BLOCK)
+    # Short chains run as a block each, which needs no products; longer ones are cut.
+    longest = int(counts.max(initial=0))
+    length = longest if longest <= WHOLE else BLOCK
+    n_blocks = -(-counts // max(length, 1))
     total = int(n_blocks.sum())
     if not total:
         return np.zeros((0, labels))
     doc = np.repeat(np.arange(len(counts)), n_blocks)
     within = np.arange(total) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
-    first = (np.cumsum(counts) - counts)[doc] + within * BLOCK
-    size = np.minimum(counts[doc] - within * BLOCK, BLOCK)
-    potentials = np.exp(emissions - emissions.max(axis=1, keepdims=True))
+    first = (np.cumsum(counts) - counts)[doc] + within * length
+    size = np.minimum(counts[doc] - within * length, length)
+    # Labels come before chains, so that sums over the few labels run along the many chains.
+    potentials = np.exp(emissions.T - emissions.max(axis=1))
     step = np.exp(transitions - transitions.max())
-    present = np.arange(BLOCK)[None, :] < size[:, None]
-    at = np.minimum(first[:, None] + np.arange(BLOCK), len(emissions) - 1)
-    padded = np.where(present[:, :, None], potentials[at], 1.0)
-
-    product = np.broadcast_to(np.eye(labels), (total, labels, labels)).copy()
-    for t in range(BLOCK):
-        live = np.flatnonzero(present[:, t])
-        moved = product[live] @ step
-        if t == 0:  # nothing stands before a text's first word
-            moved = np.where(within[live, None, None] == 0, product[live], moved)
-        moved = moved * padded[live, t, None, :]
-        product[live] = moved / moved.sum(axis=(1, 2), keepdims=True)
+    present = np.arange(length)[:, None] < size
+    at = np.minimum(first + np.arange(length)[:, None], len(emissions) - 1)
+    padded = np.empty((length, labels, total))
+    for t in range(length):
+        padded[t] = potentials[:, at[t]]
+        padded[t][:, ~present[t]] = 1.0
+
     # Entering from the left (before the block's own transition) and from the right.
-    left, right = np.ones((total, labels)), np.ones((total, labels))
-    ends = np.cumsum(n_blocks)
-    for b in range(1, int(n_blocks.max())):
-        now = (ends - n_blocks + b)[n_blocks > b]
-        left[now] = np.einsum("di,dij->dj", left[now - 1], product[now - 1])
-        left[now] /= left[now].sum(axis=1, keepdims=True)
-        back = (ends - 1 - b)[n_blocks > b]
-        right[back] = np.einsum("dij,dj->di", product[back + 1], right[back + 1])
-        right[back] /= right[back].sum(axis=1, keepdims=True)
+    left, right = np.ones((labels, total)), np.ones((labels, total))
+    if total > len(counts):
+        product = np.broadcast_to(np.eye(labels), (total, labels, labels)).copy()
+        for t in range(length):
+            live = np.flatnonzero(present[t])
+            moved = product[live] @ step
+            if t == 0:  # nothing stands before a text's first word
+                moved = np.where(within[live, None, None] == 0, product[live], moved)
+            moved = moved * padded[t][:, live].T[:, None, :]
+            product[live] = moved / moved.sum(axis=(1, 2), keepdims=True)
+        ends = np.cumsum(n_blocks)
+        for b in range(1, int(n_blocks.max())):
+            now = (ends - n_blocks + b)[n_blocks > b]
+            left[:, now] = np.einsum("id,dij->jd", left[:, now - 1], product[now - 1])
+            left[:, now] /= left[:, now].sum(axis=0)
+            back = (ends - 1 - b)[n_blocks > b]
+            right[:, back] = np.einsum("dij,jd->id", product[back + 1], right[:, back + 1])
+            right[:, back] /= right[:, back].sum(axis=0)
     alpha, carried = np.empty_like(padded), left
-    for t in range(BLOCK):
-        moved = carried @ step
+    for t in range(length):
+        moved = step.T @ carried
         if t == 0:
-            moved = np.where(within[:, None] == 0, carried, moved)
-        moved = moved * padded[:, t]
-        moved /= moved.sum(axis=1, keepdims=True)
-        carried = np.where(present[:, t, None], moved, carried)
-        alpha[:, t] = carried
+            moved = np.where(within == 0, carried, moved)
+        moved *= padded[t]
+        moved /= moved.sum(axis=0)
+        carried = np.where(present[t], moved, carried)
+        alpha[t] = carried
     carried = right
-    for t in reversed(range(BLOCK)):
+    for t in reversed(range(length)):
+        after = padded[t] * carried
         if expected is not None:
-            pair = present[:, t] & ((within > 0) | (t > 0))
-            before, after = (alpha[:, t - 1] if t else left)[pair], (padded[:, t] * carried)[pair]
-            mass = ((before @ step) * after).sum(axis=1, keepdims=True)
-            expected += step * ((before / mass).T @ after)
-        alpha[:, t] *= carried
-        moved = (carried * padded[:, t]) @ step.T
-        moved /= moved.sum(axis=1, keepdims=True)
-        carried = np.where(present[:, t, None], moved, carried)
-    gamma = alpha[present]
-    gamma /= gamma.sum(axis=1, keepdims=True)
-    out = np.empty_like(gamma)
-    out[(first[:, None] + np.arange(BLOCK))[present]] = gamma
+            pair = present[t] & ((within > 0) | (t > 0))
+            before, behind = (alpha[t - 1] if t else left)[:, pair], after[:, pair]
+            mass = ((step.T @ before) * behind).sum(axis=0)
+            expected += step * ((before / mass) @ behind.T)
+        alpha[t] *= carried
+        alpha[t] /= alpha[t].sum(axis=0)
+        moved = step @ after
+        moved /= moved.sum(axis=0)
+        carried = np.where(present[t], moved, carried)
+    out = np.empty((len(emissions), labels))
+    for t in range(length):
+        out[at[t][present[t]]] = alpha[t][:, present[t]].T
     return out
 
 
@@ -159,7 +174,12 @@ class LanguageField:
         counts, index, distinct = words_of(texts)
         if not distinct or not self.languages:
             return counts, np.zeros((0, len(self.languages)))
-        return counts, forward_backward(self.word_scores(distinct)[index], self.transitions, counts)
+        scores = self.word_scores(distinct)
+        parts = [
+            forward_backward(scores[index[first:last]], self.transitions, counts[i:j])
+            for i, j, first, last in chains_at_once(counts, len(self.languages))
+        ]
+        return counts, np.concatenate(parts)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and mean posterior of whole texts."""
@@ -175,55 +195,100 @@ class LanguageField:
         return names, np.clip(scores, 0, 1)
 
 
+def chains_at_once(counts: np.ndarray, labels: int, cells: int = CELLS) -> Iterator[tuple[int, int, int, int]]:
+    """Runs of chains (first and last chain, first and last word) of at most ``cells`` words x labels, one at least."""
+    ends = np.cumsum(counts)
+    i = first = 0
+    while i < len(counts):
+        j = max(int(np.searchsorted(ends, first + max(cells // max(labels, 1), 1), side="right")), i + 1)
+        yield i, j, first, int(ends[j - 1])
+        i, first = j, int(ends[j - 1])
+
+
+class _Words:
+    """Distinct words of a training sample: their features in blocks, so that no array spans all n-grams of all words."""
+
+    def __init__(self, texts: list[str], bits: int):
+        number: dict[str, int] = {}
+        coded = []
+        for text in texts:
+            found = _LETTERS.findall(text.lower())
+            coded.append(np.fromiter((number.setdefault(w, len(number)) for w in found), dtype=np.int32, count=len(found)))
+        self.counts = np.array([len(c) for c in coded], dtype=np.int64)
+        self.index = np.concatenate(coded) if coded else np.zeros(0, dtype=np.int32)
+        self.words = list(number)
+        self.blocks = []
+        for at in range(0, len(self.words), WORD_BLOCK):
+            part = self.words[at : at + WORD_BLOCK]
+            owner, bucket = affix_features(part, bits)
+            self.blocks.append((at, len(part), owner.astype(np.int32), bucket.astype(np.int32)))
+
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        out = np.empty((len(self.words), weights.shape[1]), dtype=np.float32)
+        for at, size, owner, bucket in self.blocks:
+            for label, column in enumerate(weights.T):
+                out[at : at + size, label] = np.bincount(owner, column[bucket], size)
+        return out
+
+    def slope(self, error: np.ndarray, buckets: int) -> np.ndarray:
+        out = np.zeros((buckets, error.shape[1]))
+        for at, _, owner, bucket in self.blocks:
+            for label in range(error.shape[1]):
+                out[:, label] += np.bincount(bucket, error[at + owner, label], buckets)
+        return out
+
+
 def fit(
     texts: list[str], languages: list[str], *, bits: int, rounds: int = 40, rate: float = 0.1, penalty: float = 1e-6,
-    segment: int = 256, min_count: int = 3,
+    segment: int = 256, min_count: int = 3, cells: int = CELLS,
 ) -> LanguageField:
-    """Maximum likelihood by Adam; every word of a training text carries the text's label."""
+    """Maximum likelihood by Adam; every word of a training text carries the text's label.
+
+    A round's slope is summed over runs of segments of at most ``cells`` words x labels, so memory is that of the coded
+    sample (four bytes a word and an n-gram of a distinct word) and of one run, whatever the sample's size.
+    """
     names = sorted(set(languages))
     n_labels = len(names)
-    counts, index, distinct = words_of(texts)
+    sample = _Words(texts, bits)
     field = LanguageField(
         bits, names, np.zeros((1 << bits, n_labels)), np.zeros(0, np.uint64), np.zeros((0, n_labels)),
         np.zeros((n_labels, n_labels)),
     )
-    if not distinct:
+    if not sample.words:
         return field
-    target = np.repeat([names.index(x) for x in languages], counts)
-    owner, bucket = affix_features(distinct, bits)
+    distinct, index = sample.words, sample.index
+    target = np.repeat(np.array([names.index(x) for x in languages], dtype=np.int16), sample.counts)
     frequent = np.flatnonzero(np.bincount(index, minlength=len(distinct)) >= min_count)
     hashes = word_hashes([distinct[i] for i in frequent])
     order = np.argsort(hashes)
     frequent = frequent[order]
     field.lexicon, field.lexicon_weights = hashes[order], np.zeros((len(frequent), n_labels))
     # Training runs over segments of long texts, so that their words are as many chains of bounded length.
-    pieces = [min(segment, c - s) for c in counts.tolist() for s in range(0, c, segment)]
-    pieces = np.array(pieces, dtype=np.int64)
-    starts = np.cumsum(pieces) - pieces
-    inner = np.setdiff1d(np.arange(len(index)), starts)
-    gold = np.zeros((n_labels, n_labels))
-    np.add.at(gold, (target[inner - 1], target[inner]), 1)
+    pieces = np.array([min(segment, c - s) for c in sample.counts.tolist() for s in range(0, c, segment)], dtype=np.int64)
+    inside = np.ones(len(index), dtype=bool)
+    inside[np.cumsum(pieces) - pieces] = False
+    inner = np.flatnonzero(inside)
+    gold = np.bincount(target[inner - 1].astype(np.int64) * n_labels + target[inner], minlength=n_labels**2).reshape(n_labels, n_labels)
+    told = np.bincount(index.astype(np.int64) * n_labels + target, minlength=len(distinct) * n_labels).reshape(-1, n_labels)
     parameters = [field.weights, field.lexicon_weights, field.transitions]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in parameters]
-    onehot = np.eye(n_labels)[target]
     n = len(index)
     for step in range(1, rounds + 1):
-        emissions = np.stack([np.bincount(owner, w, len(distinct)) for w in field.weights.T[:, bucket]], axis=1)
+        emissions = sample.scores(field.weights)
         emissions[frequent] += field.lexicon_weights
-        emissions = emissions[index]
         expected = np.zeros((n_labels, n_labels))
-        posterior = forward_backward(emissions, field.transitions, pieces, expected)
-        error = np.stack([np.bincount(index, e, len(distinct)) for e in (posterior - onehot).T], axis=1)
-        gradients = [
-            np.stack([np.bincount(bucket, e[owner], 1 << bits) for e in error.T], axis=1),
-            error[frequent],
-            expected - gold,
-        ]
-        for p, (first, second), g in zip(parameters, moments, gradients, strict=True):
+        error = -told.astype(np.float64)
+        for i, j, first, last in chains_at_once(pieces, n_labels, cells):
+            own = index[first:last]
+            posterior = forward_backward(emissions[own].astype(np.float64), field.transitions, pieces[i:j], expected)
+            for label in range(n_labels):
+                error[:, label] += np.bincount(own, posterior[:, label], len(distinct))
+        gradients = [sample.slope(error, 1 << bits), error[frequent], expected - gold]
+        for p, (first_, second), g in zip(parameters, moments, gradients, strict=True):
             g = g / n + penalty * p
-            first += 0.1 * (g - first)
+            first_ += 0.1 * (g - first_)
             second += 0.01 * (g * g - second)
-            p -= rate * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+            p -= rate * first_ / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
     return field
 
 
@@ -243,30 +308,34 @@ def train(
     """Fit on a sample of every language, chosen by the hash of ids: equal shares of ``rows`` and ``max_bytes``.
 
     A language has at least one document in the sample.  Where its documents exceed its bytes, the longest ones are
-    cut at the largest common length that fits, so no document shuts out another.
+    cut at the largest common length that fits, so no document shuts out another.  Rows are sampled, not ids: rows of one
+    id with many texts count each, within the same bounds.
     """
     labelled = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
     labelled = labelled.where("text is not null and lang is not null and id is not null")
-    labelled = labelled.withColumn("size", F.octet_length("text"))
+    # A row is known by its id, language and text; rows that repeat all three count once.
+    labelled = labelled.withColumn("size", F.octet_length("text")).withColumn("key", F.xxhash64("id", "text"))
     languages = labelled.select("lang").distinct().count()
     # One language alone has nothing to be told from; from two on, a share of 2,000 is within Spark's limit per window.
     share = max(rows // max(languages, 2), 1)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "size")
-    sizes: dict[str, list] = {}
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "key", "size")
+    sizes: dict[str, set] = {}
     for r in (
-        labelled.select("id", "lang", "size").withColumn("at", F.row_number().over(order)).where(F.col("at") <= share).collect()
+        labelled.select("id", "lang", "key", "size").withColumn("at", F.row_number().over(order)).where(F.col("at") <= share).collect()
     ):
-        sizes.setdefault(r["lang"], []).append(r)
+        sizes.setdefault(r["lang"], set()).add((r["id"], r["key"], r["size"]))
     chosen = []
-    for held in sizes.values():
-        cut = max(cut_at([r["size"] for r in held], max_bytes // len(sizes)), 1)
-        chosen += sorted({(r["id"], r["lang"], r["size"], min(r["size"], cut)) for r in held})
+    for lang, held in sizes.items():
+        cut = max(cut_at([size for _, _, size in held], max_bytes // len(sizes)), 1)
+        chosen += sorted((i, lang, key, size, min(size, cut)) for i, key, size in held)
     spark = docs.sparkSession
-    # At most ``rows`` ids (one a language at least): bounded whatever the table's size.
-    keys = spark.createDataFrame(chosen, f"id {docs.schema[id_col].dataType.simpleString()}, lang string, size int, cut int")
-    found = labelled.join(F.broadcast(keys), ["id", "lang", "size"]).select(
-        "id", "lang", F.expr("substring(cast(text as binary), 1, cut)").alias("head")
-    ).distinct()
+    # At most ``rows`` rows (one a language at least): bounded whatever the table's size.
+    keys = spark.createDataFrame(
+        chosen, f"id {docs.schema[id_col].dataType.simpleString()}, lang string, key long, size int, cut int"
+    )
+    found = labelled.join(F.broadcast(keys), ["id", "lang", "key", "size"]).select(
+        "id", "lang", "key", F.expr("substring(cast(text as binary), 1, cut)").alias("head")
+    ).dropDuplicates(["id", "lang", "key"])
     sample = sorted((r["id"], r["lang"], bytes(r["head"]).decode("utf-8", "ignore")) for r in found.collect())
     return fit([r[2] for r in sample], [r[1] for r in sample], bits=bits)
 
