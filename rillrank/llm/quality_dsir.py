@@ -1,16 +1,17 @@
 """Quality classifier (7): importance resampling with hashed n-gram generative models and Gumbel top-k.
 
-Two bag-of-n-gram models over hashed unigrams and bigrams are estimated: one of target text (a bounded sample of
-documents labelled good) and one of raw text (all documents).  A document's importance weight is the ratio of its
-likelihoods; per n-gram, so that length doesn't decide.  ``k`` is the number of documents whose weight reaches the
-threshold that separates the labelled classes best, and the ``k`` documents with the largest Gumbel-perturbed weights
-are resampled without replacement.
+Two bag-of-n-gram models over hashed unigrams and bigrams are estimated: one of target text (labelled good documents)
+and one of raw text (all documents).  A document's log weight is the log of the ratio of its likelihoods under the two,
+tempered to at most ``evidence`` n-grams, and the ``k`` documents with the largest weights after a standard Gumbel draw
+each are the resample without replacement.  ``k`` is a target share of the documents or, by default, the number of
+documents whose weight reaches the threshold that separates held-out labelled documents best.
 """
 
 from __future__ import annotations
 
 import pickle
 import re
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,10 @@ from rillrank.llm.common import slices, written
 
 #: Runs of letters, of digits, and of other marks: "word!!" gives two tokens.
 _TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+")
-#: Added n-grams of weight zero: evidence from a handful of n-grams counts for less.
-_SHRINK = 4.0
+#: Stands for every bigram of a token and itself.
+_AGAIN = np.uint64(0xD6E8FEB86659FD93)
+#: Cost of a held-out good document lost, in bad ones kept: a filter must keep clean documents.
+_LOST = 20.0
 
 
 def _ngrams(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,21 +45,27 @@ def _ngrams(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray]
     row = np.repeat(np.arange(len(texts)), counts)
     same = row[1:] == row[:-1]
     pairs = (hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ hashes[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
-    pairs = pairs[same] if len(hashes) else hashes
+    # A token that follows itself is one bigram, whichever token it is.
+    pairs = np.where(hashes[1:] == hashes[:-1], _AGAIN, pairs)[same]
     shift = np.uint64(64 - bits)
     return np.concatenate([row, row[1:][same]]), np.concatenate([hashes, pairs]) >> shift
 
 
-def _sample(labels: DataFrame, id_col: str, label_col: str, per_class: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of at most ``per_class`` good and bad documents each, by hash of the id."""
+def _sample(labels: DataFrame, id_col: str, label_col: str, per_class: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of good documents to learn from, and of held-out good and bad ones, at most ``per_class`` each, by id hash.
+
+    A quarter of the good documents is held out; bad ones are never learned from.
+    """
     rated = labels.where(labels[id_col].isNotNull() & labels[label_col].isNotNull())
     rated = rated.groupBy(rated[id_col].cast("long").alias("id")).agg(F.min(rated[label_col].cast("int")).alias("label"))
 
-    def ids(kind: str) -> np.ndarray:
+    def ids(kind: F.Column) -> np.ndarray:
         rows = rated.where(kind).orderBy(F.xxhash64("id"), "id").limit(per_class).collect()
         return np.sort(np.array([r["id"] for r in rows], dtype=np.int64))
 
-    return ids("label > 0"), ids("label <= 0")
+    held_out = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4)) == 0
+    good, bad = F.col("label") > 0, F.col("label") <= 0
+    return ids(good & ~held_out), ids(good & held_out), ids(bad)
 
 
 def log_ratios(docs: DataFrame, good_ids: np.ndarray, *, id_col: str, text_col: str, bits: int) -> np.ndarray:
@@ -87,8 +96,14 @@ def log_ratios(docs: DataFrame, good_ids: np.ndarray, *, id_col: str, text_col:
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
-def importance_weights(docs: DataFrame, ratios: np.ndarray, *, id_col: str, text_col: str, bits: int) -> DataFrame:
-    """``id, n_grams, weight``: the mean log ratio of a whole text's n-grams (0 without any)."""
+def importance_weights(
+    docs: DataFrame, ratios: np.ndarray, *, id_col: str, text_col: str, bits: int, evidence: float
+) -> DataFrame:
+    """``id, n_grams, weight``: the log ratio summed over a whole text's n-grams, times evidence / (evidence + n_grams).
+
+    A text of few n-grams weighs its plain log likelihood ratio; a long one, whose n-grams repeat each other's evidence,
+    at most what ``evidence`` of its n-grams weigh on the average.
+    """
     model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(ratios))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,28 +113,22 @@ def importance_weights(docs: DataFrame, ratios: np.ndarray, *, id_col: str, text
             n = np.bincount(row, minlength=batch.num_rows)
             total = np.bincount(row, ratios[bucket.astype(np.int64)], batch.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n, pa.int64()), pa.array(total / (n + _SHRINK))], ["id", "n_grams", "weight"]
+                [batch.column("id"), pa.array(n, pa.int64()), pa.array(total * evidence / (evidence + n))],
+                ["id", "n_grams", "weight"],
             )
 
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     return rows.mapInArrow(weigh, "id long, n_grams long, weight double")
 
 
-def _threshold(good: np.ndarray, bad: np.ndarray) -> tuple[float, float]:
-    """The weight that separates the labelled classes with the least balanced error, and the gap of their means.
-
-    Among the cuts of least error the middle one is taken; without bad examples nothing is rejected.
-    """
-    if not len(bad) or not len(good):
-        return -np.inf, 1.0
+def separating(good: np.ndarray, bad: np.ndarray) -> float:
+    """The weight of least cost between two labelled classes; among cuts of equal cost the middle one."""
     values = np.unique(np.concatenate([good, bad]))
     cuts = np.concatenate([values[:1] - 1, (values[1:] + values[:-1]) / 2, values[-1:] + 1])
     lost = np.searchsorted(np.sort(good), cuts) / len(good)
     kept = 1 - np.searchsorted(np.sort(bad), cuts) / len(bad)
-    # A good document lost weighs more than a bad one kept: a filter must keep clean documents.
-    cost = 20 * lost + kept
-    best = np.flatnonzero(cost <= cost.min() + 1e-12)
-    return float(cuts[best].mean()), float(good.mean() - bad.mean())
+    cost = _LOST * lost + kept
+    return float(cuts[cost <= cost.min() + 1e-12].mean())
 
 
 def kth_largest(keys: DataFrame, column: str, k: int, bins: int = 1024, rows: int = 2048) -> float:
@@ -151,42 +160,53 @@ def kth_largest(keys: DataFrame, column: str, k: int, bins: int = 1024, rows: in
 
 def quality(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    per_class: int = 10_000, bits: int = 14, temperature: float = 0.01, seed: int = 7,
+    per_class: int = 10_000, bits: int = 14, evidence: float = 256.0, temperature: float = 1.0, share: float | None = None,
+    seed: int = 7,
 ) -> DataFrame:
     """One row per input row: ``id_col, n_grams, log_weight, key, kept``.
 
-    ``key`` is ``(weight - threshold) / (temperature * class gap)`` plus a standard Gumbel draw that depends on the id
-    and ``seed`` only; the ``k`` largest keys are kept, ``k`` being the number of weights at or above the threshold.
-    The labelled sample is bounded by ``per_class`` ids a class; counts and weights cover every whole text.
+    ``key`` is ``log_weight / temperature`` plus a standard Gumbel draw that depends on the id and ``seed`` only; the
+    ``k`` largest keys are kept.  ``k`` is ``share`` of the rows or, where that is None, the number of rows whose weight
+    reaches the threshold between held-out good and bad labelled documents.  The labelled sample is bounded by
+    ``per_class`` ids a class; counts and weights cover every whole text.
 
     Edge cases: null, empty and blank texts weigh 0 (no evidence either way); rows that repeat an id draw the same
     Gumbel value; where keys tie at the k-th place all tied rows stay; a null id draws like any other value; without
-    labels of both classes nothing is rejected; an empty table gives an empty result; other columns are ignored.
+    held-out labels of both classes and without ``share`` nothing is rejected, and a warning says so; an empty table
+    gives an empty result; other columns are ignored.
     """
-    good_ids, bad_ids = _sample(labels, id_col, label_col, per_class)
-    ratios = log_ratios(docs, good_ids, id_col=id_col, text_col=text_col, bits=bits)
-    weights = written(importance_weights(docs, ratios, id_col=id_col, text_col=text_col, bits=bits), "weights")
-    spark = docs.sparkSession
-    both = {0: [], 1: []}
-    if len(good_ids) and len(bad_ids):
-        # At most 2 * per_class ids: bounded whatever the tables' size.
-        rated = spark.createDataFrame(
-            [(int(i), 1) for i in good_ids] + [(int(i), 0) for i in bad_ids], "id long, label int"
-        )
-        pairs = weights.join(F.broadcast(rated), "id").groupBy("id", "label").agg(F.min("weight").alias("weight"))
-        for r in pairs.collect():
-            both[r["label"]].append(r["weight"])
-    threshold, gap = _threshold(np.array(both[1]), np.array(both[0]))
-    if not np.isfinite(threshold) or gap <= 0:
-        key = F.lit(0.0)
-        kept = F.lit(True)
-    else:
-        # Uniform in (0, 1) from 52 bits of a hash of the id.
-        uniform = (F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 12).cast("double") + 0.5) / float(2**52)
-        key = (F.col("weight") - threshold) / (temperature * gap) - F.log(-F.log(uniform))
-        k = weights.where(F.col("weight") >= threshold).count()
-        keys = weights.select(key.alias("key"))
-        kept = F.col("key") >= kth_largest(keys, "key", k)
+    fit_ids, good_ids, bad_ids = _sample(labels, id_col, label_col, per_class)
+    ratios = log_ratios(docs, fit_ids, id_col=id_col, text_col=text_col, bits=bits)
+    weights = written(
+        importance_weights(docs, ratios, id_col=id_col, text_col=text_col, bits=bits, evidence=evidence), "weights"
+    )
+    # Uniform in (0, 1) from 52 bits of a hash of the id.
+    uniform = (F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 12).cast("double") + 0.5) / float(2**52)
+    key = F.col("weight") / temperature - F.log(-F.log(uniform))
+    k = _target_size(weights, good_ids, bad_ids) if share is None else round(share * weights.count())
+    kept = F.lit(True) if k is None else F.col("key") >= kth_largest(weights.select(key.alias("key")), "key", k)
     return weights.withColumn("key", key).select(
         F.col("id").alias(id_col), "n_grams", F.col("weight").alias("log_weight"), "key", kept.alias("kept")
     )
+
+
+def _target_size(weights: DataFrame, good_ids: np.ndarray, bad_ids: np.ndarray) -> int | None:
+    """How many rows reach the threshold of the held-out labels; None, with a warning, without both classes."""
+    if not len(good_ids) or not len(bad_ids):
+        warnings.warn("no held-out labels of both classes: the quality classifier keeps every document", stacklevel=3)
+        return None
+    # At most 2 * per_class ids: bounded whatever the tables' size.
+    rated = weights.sparkSession.createDataFrame(
+        [(int(i), 1) for i in good_ids] + [(int(i), 0) for i in bad_ids], "id long, label int"
+    )
+    pairs = weights.join(F.broadcast(rated), "id").groupBy("id", "label").agg(F.min("weight").alias("weight"))
+    both = {0: [], 1: []}
+    for r in pairs.collect():
+        both[r["label"]].append(r["weight"])
+    good, bad = np.array(both[1]), np.array(both[0])
+    if not len(good) or not len(bad):
+        warnings.warn("no labelled documents of both classes: the quality classifier keeps every document", stacklevel=3)
+        return None
+    if good.mean() <= bad.mean():
+        warnings.warn("held-out good documents weigh no more than bad ones: the quality classifier can't tell them apart", stacklevel=3)
+    return weights.where(F.col("weight") >= separating(good, bad)).count()
