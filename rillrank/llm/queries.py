@@ -13,7 +13,7 @@ from rillrank.llm.decontam_fm import benchmark_hits
 from rillrank.llm.exact_dedup import exact_groups
 from rillrank.llm.langid_crf import language
 from rillrank.llm.minhash import near_duplicates
-from rillrank.llm.pii import BASE_KINDS, personal_data, span_text
+from rillrank.llm.pii import BASE_KINDS, KINDS, personal_data, span_text
 from rillrank.llm.quality_dsir import quality
 from rillrank.llm.sentencepiece_viterbi import encode_decode
 from rillrank.llm.token_count import token_counts
@@ -72,13 +72,13 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = personal_data(_documents(spark, sf_dir))
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
 
-
     def counted(kind: str) -> F.Column:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     return found.select(
         "doc_id", *map(counted, BASE_KINDS), F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"),
         F.concat_ws(",", F.transform("spans", lambda s: s["score"].cast("string"))).alias("scores"),
+        *map(counted, KINDS[len(BASE_KINDS) :]),
     )
 
 
