@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillrank.llm.common import slices
+from rillrank.llm.common import slices, written
 
 #: Benchmark bytes searched in one pass; a larger benchmark is searched in as many passes as it takes.
 BLOCK_BYTES = 8 << 20
@@ -41,16 +41,21 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
 
 
+def _by_name(name: str | None) -> tuple[bool, str]:
+    """Order of item ids: as strings, a null one last."""
+    return name is None, name or ""
+
+
 class Phrases:
-    """The distinct windows of a block of benchmark items, as symbols of the block's vocabulary."""
+    """The distinct windows of a block of benchmark items (ids and words), as symbols of the block's vocabulary."""
 
-    def __init__(self, items: list[tuple[str, str | None]], width: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], width: int):
         self.symbols: dict[bytes, int] = {}
-        self.names = sorted({name for name, _ in items})
+        self.names = sorted({name for name, _ in items}, key=_by_name)
         number = {name: i for i, name in enumerate(self.names)}
         owners: dict[tuple[int, ...], set[int]] = {}
-        for name, text in items:
-            coded = [self.symbols.setdefault(w, len(self.symbols) + 1) for w in words_of(text)]
+        for name, words in items:
+            coded = [self.symbols.setdefault(w, len(self.symbols) + 1) for w in words]
             for start in range(max(len(coded) - width, 0) + 1 if coded else 0):
                 owners.setdefault(tuple(coded[start : start + width]), set()).add(number[name])
         windows = list(owners)
@@ -64,23 +69,33 @@ class Phrases:
 
 
 class WaveletMatrix:
-    """Ranks of symbols in a sequence, one bit vector with prefix counts per bit of the alphabet."""
+    """Ranks of symbols in a sequence: one bit vector per bit of the alphabet, packed into 64-bit words with a count of
+    the ones before each word (12 bytes for 64 symbols and bit)."""
 
     def __init__(self, sequence: np.ndarray, symbols: int):
         self.levels = []
         for bit in reversed(range(max(int(symbols - 1).bit_length(), 1))):
-            ones = (sequence >> bit) & 1
-            counts = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(ones)])
-            zeros = len(sequence) - int(counts[-1])
-            self.levels.append((bit, counts, zeros))
-            sequence = np.concatenate([sequence[ones == 0], sequence[ones == 1]])
+            ones = ((sequence >> bit) & 1).astype(bool)
+            packed = np.zeros(len(sequence) // 64 + 1, dtype="<u8")
+            bits = np.packbits(ones, bitorder="little")
+            packed.view(np.uint8)[: len(bits)] = bits
+            before = np.zeros(len(packed), dtype=np.int32)
+            np.cumsum(np.bitwise_count(packed[:-1]), out=before[1:])
+            self.levels.append((bit, packed, before, len(sequence) - int(ones.sum())))
+            sequence = np.concatenate([sequence[~ones], sequence[ones]])
 
     def ranks(self, symbols: np.ndarray, ends: list[np.ndarray]) -> list[np.ndarray]:
         """For each array of ``ends``: how often ``symbols[i]`` occurs before position ``ends[i]``."""
         tracked = [np.zeros_like(symbols), *ends]
-        for bit, counts, zeros in self.levels:
+        for bit, packed, before, zeros in self.levels:
             one = ((symbols >> bit) & 1).astype(bool)
-            tracked = [np.where(one, zeros + counts[t], t - counts[t]) for t in tracked]
+            moved = []
+            for t in tracked:
+                word = t >> 6
+                below = (np.uint64(1) << (t & 63).astype(np.uint64)) - np.uint64(1)
+                counts = before[word] + np.bitwise_count(packed[word] & below).astype(np.int64)
+                moved.append(np.where(one, zeros + counts, t - counts))
+            tracked = moved
         return [t - tracked[0] for t in tracked[1:]]
 
 
@@ -219,16 +234,37 @@ def _character_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int,
     return list(zip(starts_at, ends_at, strict=True))
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[bool, list[tuple[str, str]]]]:
-    """Whether it is the last, and the items, of each block of about ``block_bytes``; one is on the driver at a time."""
-    items = benchmark.select(
-        F.coalesce(benchmark[id_col].cast("string"), F.lit("null")).alias("id"), benchmark[text_col].alias("text")
-    )
-    total = items.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // block_bytes) or 1
+def _blocks(
+    benchmark: DataFrame, id_col: str, text_col: str, width: int, block_bytes: int
+) -> Iterator[tuple[bool, list[tuple[str | None, list[bytes]]]]]:
+    """Whether it is the last, and the items' words, of each block of about ``block_bytes`` of words.
+
+    One block is on the driver at a time.  An item beyond that is cut before it gets there, into parts that share
+    ``width - 1`` words, so that each window of it lies in one part.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, text in zip(batch.column("id"), batch.column("text"), strict=True):
+                words = words_of(text.as_py())
+                start = 0
+                while start < len(words):
+                    end, held = start, 0
+                    while end < len(words) and (end - start < width or held < block_bytes):
+                        held += len(words[end]) + 1
+                        end += 1
+                    part = b" ".join(words[start:end])
+                    yield pa.RecordBatch.from_pydict(
+                        {"id": pa.array([name.as_py()], pa.string()), "at": pa.array([start], pa.int64()), "words": pa.array([part], pa.binary())}
+                    )
+                    start = len(words) if end == len(words) else end - width + 1
+
+    items = benchmark.select(benchmark[id_col].cast("string").alias("id"), benchmark[text_col].alias("text"))
+    parts = written(items.mapInArrow(cut, "id string, at long, words binary"), "items")
+    n = -(-(parts.select(F.sum(F.octet_length("words"))).first()[0] or 0) // block_bytes) or 1
     for block in range(n):
-        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == block) if n > 1 else items
-        yield block == n - 1, [(r["id"], r["text"]) for r in rows.toLocalIterator()]
+        rows = parts.where(F.pmod(F.xxhash64("id", "at", "words"), F.lit(n)) == block) if n > 1 else parts
+        yield block == n - 1, [(r["id"], bytes(r["words"]).split()) for r in rows.toLocalIterator()]
 
 
 def benchmark_hits(
@@ -252,7 +288,8 @@ def benchmark_hits(
 
     Edge cases: null, empty and wordless texts have no words and no hits; wordless benchmark items have no windows; an
     empty benchmark gives no hits; an empty table an empty result; repeated rows repeat their result; item ids that
-    repeat count once; a null item id is named ``null``; null document ids stay null.
+    repeat count once; null item ids are one item, last in the order, null in ``items`` and so absent from joined ids;
+    null document ids stay null; very long texts and items are read whole.
     """
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -267,7 +304,7 @@ def benchmark_hits(
         table = table.withColumn(column, F.expr(empty))
     out_schema = f"id {id_type}, text string{kept_schema}, n_words long, items array<string>, words array<struct<start:int,end:int>>"
     placed_schema = f"id {id_type}{kept_schema}, n_words long, items array<string>, n_hit long, spans array<struct<start:int,end:int>>"
-    for last, items in _blocks(benchmark, item_col, item_text_col, block_bytes):
+    for last, items in _blocks(benchmark, item_col, item_text_col, width, block_bytes):
         block = spark.sparkContext.broadcast(pickle.dumps(Phrases(items, width)))
 
         def search(batches: Iterator[pa.RecordBatch], block=block, last=last) -> Iterator[pa.RecordBatch]:
@@ -279,7 +316,7 @@ def benchmark_hits(
                 words = [[(w["start"], w["end"]) for w in ws] for ws in words]
                 for i in spans:
                     words[i] = _merged(words[i] + spans[i])
-                    names[i] = sorted({*names[i], *(phrases.names[k] for k in found[i])})
+                    names[i] = sorted({*names[i], *(phrases.names[k] for k in found[i])}, key=_by_name)
                 columns = dict(zip(batch.schema.names, batch.columns, strict=True))
                 columns["n_words"] = pa.array(n_words)
                 columns["items"] = pa.array(names, pa.list_(pa.string()))

@@ -46,11 +46,11 @@ def near(docs: list[tuple[int, str | None]], percent: int = 85) -> dict[int, tup
 
 def leaks(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], width: int = 8) -> dict[int, tuple]:
     """doc_id -> (n_words, n_hit, n_items, items_sha256, contaminated)."""
-    windows: dict[tuple[str, ...], set[str]] = {}
+    windows: dict[tuple[str, ...], set[str | None]] = {}
     for name, text in items:
         words = ALNUM.findall(lower_ascii(text or ""))
         for i in range(max(len(words) - width, 0) + 1 if words else 0):
-            windows.setdefault(tuple(words[i : i + width]), set()).add(str(name))
+            windows.setdefault(tuple(words[i : i + width]), set()).add(name)
     lengths = {len(w) for w in windows}
     out = {}
     for key, text in docs:
@@ -62,7 +62,7 @@ def leaks(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]
                 if owners:
                     hit |= set(range(i, i + n))
                     found |= owners
-        digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        digest = hashlib.sha256(",".join(sorted(x for x in found if x is not None)).encode()).hexdigest()
         out[key] = (len(words), len(hit), len(found), digest, len(found) >= 2)
     return out
 
