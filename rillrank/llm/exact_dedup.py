@@ -15,6 +15,10 @@ _STEP = "100000000000000000000"
 _TOP = "9223372036854775807"
 
 
+#: Largest groups whose rows are joined by broadcast.
+HOT_GROUPS = 1000
+
+
 def normalised(text: Column) -> Column:
     """The text without white space; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), WHITE_SPACE, "")
@@ -56,15 +60,32 @@ def exact_groups(
         F.expr(f"cast({_TOP} - pmod(best, cast({_STEP} as decimal(38,0))) as long)").alias("group_keep"),
         "size",
     )
+    # Rows of the largest groups find their keeper without a shuffle; of what is left, no group is more than one in
+    # HOT_GROUPS of all rows.  HOT_GROUPS rows of fixed width are broadcast, whatever the table's size.
+    hot = keepers.orderBy(F.desc("size"), "group_h", "group_digest").limit(HOT_GROUPS).select(
+        F.col("group_h").alias("hot_h"), F.col("group_digest").alias("hot_digest"), F.col("group_keep").alias("hot_keep"),
+        F.col("size").alias("hot_size"),
+    )
     members = hashed.select("id", "h", "digest")
+    members = members.join(
+        F.broadcast(hot), (members.h == hot.hot_h) & (members.digest == hot.hot_digest), "left"
+    )
+    # Where the keeper is found, a key that no content's digest has and that spreads the rows.
+    key = F.when(F.col("hot_size").isNull(), F.col("digest")).otherwise(F.unhex(F.hex(F.xxhash64("id"))))
+    members = members.withColumn("key", key)
     joined = members.join(
-        keepers, (members.h == keepers.group_h) & (members.digest == keepers.group_digest), "left"
+        keepers, (members.h == keepers.group_h) & (members.key == keepers.group_digest), "left"
+    )
+    # A group's keeper may have a null id, so sizes tell which join found it.
+    keep = (
+        F.when(F.col("hot_size").isNotNull(), F.col("hot_keep"))
+        .when(F.col("size").isNotNull(), F.col("group_keep"))
+        .otherwise(F.col("id"))
     )
-    keep = F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("group_keep"))
     return joined.select(
         F.col("id").alias(id_col),
         keep.alias("keep_id"),
-        F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
+        F.coalesce("hot_size", "size", F.lit(1)).cast("long").alias("group_size"),
         keep.eqNullSafe(F.col("id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
