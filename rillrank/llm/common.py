@@ -18,16 +18,18 @@ SLICE_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests), a temporary local one is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        set_before = spark.sparkContext.getCheckpointDir()
-        if set_before:
-            return set_before
-        folder = tempfile.mkdtemp(prefix="rillrank-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
+    """The folder of ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session (tests) gets a temporary folder; a cluster, whose executors don't share one,
+    gets a ValueError.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rillrank-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def new_folder(spark: SparkSession, label: str) -> str:

@@ -28,8 +28,11 @@ from pyspark.sql import functions as F
 from rillrank.llm.common import slices
 
 MARK = "▁"
-#: Entries of a worker's word and neighbour caches before they are emptied: together about 90 MB.
-CACHE_ENTRIES = 250_000
+#: Bytes of a worker's word cache before it is emptied, words counted with what Python needs to hold them.
+CACHE_BYTES = 50 << 20
+#: Bytes that a word takes beside its characters (two bytes each, for the mark) and ids, about.
+ENTRY_BYTES = 180
+#: Entries of the cache of neighbours, each of fixed size: about 40 MB.
 NEIGHBOUR_ENTRIES = 400_000
 #: Bytes of text in a slice: words, ids and decoded texts of a slice are Python objects for a moment.
 SLICE_BYTES = 1 << 20
@@ -110,6 +113,7 @@ class Viterbi:
 
     def _empty(self) -> None:
         self.cache = {}
+        self.held = 0
         self.starts = np.zeros(1, dtype=np.int64)
         self.store = np.zeros(0, dtype=np.int32)
 
@@ -191,14 +195,14 @@ class Viterbi:
         return out
 
     def _learn(self, words: set[str]) -> None:
-        new = sorted(w for w in words if w not in self.cache)
-        if len(self.cache) + len(new) > CACHE_ENTRIES:
+        if self.held > CACHE_BYTES:
             self._empty()
-            new = sorted(words)
+        new = sorted(w for w in words if w not in self.cache)
         found = self.encode_words(new)
         self.cache.update(zip(new, range(len(self.cache), len(self.cache) + len(new)), strict=True))
         lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         flat = np.fromiter((i for ids in found for i in ids), dtype=np.int32, count=int(lengths.sum()))
+        self.held += 2 * sum(map(len, new)) + 4 * len(flat) + ENTRY_BYTES * len(new)
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
         self.store = np.concatenate([self.store, flat])
 

@@ -7,7 +7,8 @@ tokens gives what the library gives for the whole text (special strings inside t
   characters;
 * word BPE that drops white space: at every run of white space.
 
-Pieces are kept in a bounded cache of the Python worker.  A piece made of Latin letters and trailing punctuation goes
+Pieces are kept in a cache of the Python worker that is emptied once it holds more than a fixed number of bytes, so it
+takes at most these and one slice's pieces.  A piece made of Latin letters and trailing punctuation goes
 straight to the library's BPE model (its pre-tokenizer would give just these two parts); every other piece goes
 through the library's whole ``encode_batch``.
 """
@@ -21,8 +22,10 @@ from itertools import chain
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Entries of a worker's piece cache before it is emptied: about 60 MB.
-CACHE_ENTRIES = 300_000
+#: Bytes of a worker's piece cache before it is emptied, pieces counted with what Python needs to hold them.
+CACHE_BYTES = 60 << 20
+#: Bytes that a piece of the cache takes beside its characters, about.
+ENTRY_BYTES = 140
 #: Bytes of pieces given to one encode_batch call.
 ENCODE_BYTES = 1 << 18
 
@@ -57,6 +60,7 @@ class _Pieces:
         self.model = self.tokenizer.model
         self.lower = lower
         self.parts: dict[str, list[int]] = {}
+        self.held = 0
 
     def _part(self, text: str) -> list[int]:
         ids = self.parts.get(text)
@@ -64,6 +68,7 @@ class _Pieces:
             ids = [t.id for t in self.model.tokenize(_stand_ins(text))]
             if self.keep_words or len(text) <= 4:
                 self.parts[text] = ids
+                self.held += len(text) + 32 * len(ids) + ENTRY_BYTES
         return ids
 
     def ids(self, pieces: list[str], prefix: str = "") -> list[list[int]]:
@@ -88,8 +93,9 @@ class _Pieces:
             for i, encoding in zip(slow[start:end], found, strict=True):
                 out[i] = encoding.ids
             start = end
-        if len(self.parts) >= CACHE_ENTRIES // 2:
+        if self.held >= CACHE_BYTES // 2:
             self.parts.clear()
+            self.held = 0
         return out
 
 
@@ -99,14 +105,16 @@ class ByteBpeCounter:
     def __init__(self, serialised: str):
         self.pieces = _Pieces(serialised, lower=False, keep_words=True)
         self.known: dict[str, dict[str, int]] = {"": {}, " ": {}}
+        self.held = {"": 0, " ": 0}
         self.line = len(self.pieces.ids(["\n"])[0])
 
     def _learn(self, prefix: str, pieces: set[str]) -> None:
         known = self.known[prefix]
-        new = [p for p in pieces if p not in known]
-        if len(known) + len(new) > CACHE_ENTRIES:
+        if self.held[prefix] > CACHE_BYTES:
             known.clear()
-            new = list(pieces)
+            self.held[prefix] = 0
+        new = [p for p in pieces if p not in known]
+        self.held[prefix] += sum(map(len, new)) + ENTRY_BYTES * len(new)
         known.update(zip(new, map(len, self.pieces.ids(new, prefix)), strict=True))
 
     def counts(self, texts: list[str | None]) -> list[int]:
@@ -131,7 +139,7 @@ class WordBpeEncoder:
     """Encodes whole texts with a BPE tokenizer that lower-cases and drops white space."""
 
     #: Its words are cached once, without a second cache of parts, so there is room for more of them.
-    CACHE_ENTRIES = 700_000
+    CACHE_BYTES = 120 << 20
     _NOT_SPACE_THERE = ("\x1c", "\x1d", "\x1e", "\x1f")  # str.split cuts here, the tokenizer doesn't
 
     def __init__(self, serialised: str):
@@ -140,16 +148,16 @@ class WordBpeEncoder:
 
     def _empty(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat: list[np.ndarray] = []
+        self.held = 0
         self.starts = np.zeros(1, dtype=np.int64)
         self.store = np.zeros(0, dtype=np.uint32)
 
     def _learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > self.CACHE_ENTRIES:
+        if self.held > self.CACHE_BYTES:
             self._empty()
-            new = list(pieces)
+        new = [p for p in pieces if p not in self.known]
         found = self.pieces.ids(new)
+        self.held += sum(map(len, new)) + 4 * sum(map(len, found)) + ENTRY_BYTES * len(new)
         at = len(self.known)
         self.known.update(zip(new, range(at, at + len(new)), strict=True))
         lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
