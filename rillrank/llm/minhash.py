@@ -8,9 +8,12 @@
    are skipped.  Frequent values (shared lines, boilerplate) sink to the end of the order and are hardly ever posted.
 3. Posted classes that meet count their agreeing coordinates; pairs with at least ``matches`` are confirmed on the full
    sets by exact intersection.
-4. A posting list longer than ``small`` isn't expanded into pairs.  It first meets its most central class only; after
-   these links are joined to components, what still stands outside the list's largest component is compared with the
-   whole list, block against block, and a block pair returns a spanning forest of its links, never all pairs.
+4. A posting list longer than ``small`` isn't expanded into pairs.  It first meets its most central class only, and
+   these links are joined to components.  Members of lists that aren't one component by then are posted once more, under
+   the rarest shingles of their full sets: two sets of the required similarity share one of these, so texts of one
+   template whose own parts differ don't meet again.  Short lists of shingles give pairs; a long one compares what
+   stands outside its largest component with the whole list, block against block, and a block pair returns a spanning
+   forest of its links, never all pairs.
 
 Links are lost only where two sets of the given similarity agree in fewer than ``matches`` coordinates; the default is
 the largest threshold that makes this chance at most 1e-6 a link (16 of 32 coordinates for similarity 0.85).
@@ -20,15 +23,13 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from rillrank.llm.common import slices, written
 from rillrank.llm.components import components
@@ -36,8 +37,13 @@ from rillrank.llm.shingles import shingle_sets, signatures
 
 #: Posting lists up to this length are expanded into pairs; longer ones go by hub and blocks.
 SMALL = 32
-#: Classes in a block of a long posting list.
+#: Classes, and shingles of their sets, in a block of a long list.
 BLOCK = 512
+BLOCK_SHINGLES = 1 << 20
+#: Counters of shingles that order them from rare to frequent: a table of 4 MB, whatever the number of shingles.
+COUNTERS = 1 << 20
+#: Largest classes whose rows find their component by a broadcast join.
+HOT_CLASSES = 1000
 
 
 def least_matches(percent: int, coordinates: int, miss: float = 1e-6) -> int:
@@ -72,18 +78,18 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int, coordinat
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``id, class, shingles`` (packed 64-bit hashes, sorted) of the rows whose id is wanted."""
+    """``id, fingerprint, shingles`` (packed 64-bit hashes, sorted) of the rows whose id is wanted."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = shingle_sets(batch.column("text").to_pylist(), width)
             packed = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
             digests = pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), digests, packed], ["id", "class", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), digests, packed], ["id", "fingerprint", "shingles"])
 
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     rows = rows.join(wanted.select("id").distinct(), "id", "left_semi")
-    return rows.mapInArrow(pack, "id long, class binary, shingles array<long>")
+    return rows.mapInArrow(pack, "id long, fingerprint binary, shingles array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -104,12 +110,12 @@ def _block_links(percent: int, matches: int):
 
     def links(group: pd.DataFrame) -> pd.DataFrame:
         loose, members = group[group["side"] == 0], group[group["side"] == 1]
-        found: list[tuple[bytes, bytes]] = []
+        found: list[tuple[int, int]] = []
         if len(loose) and len(members):
             # The forest starts from the components known so far: a pair inside one of them needs no test.
-            top: dict[bytes, bytes] = {}
+            top: dict[int, int] = {}
 
-            def root(x: bytes) -> bytes:
+            def root(x: int) -> int:
                 while top.setdefault(x, x) != x:
                     top[x] = top[top[x]]
                     x = top[x]
@@ -133,7 +139,7 @@ def _block_links(percent: int, matches: int):
                 if x != y:
                     top[max(x, y)] = min(x, y)
                     found.append((keys_l[i], keys_m[j]))
-        return pd.DataFrame(found, columns=["a", "b"], dtype=object)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return links
 
@@ -148,6 +154,47 @@ def _presence(sets: list[np.ndarray], part: np.ndarray) -> np.ndarray:
     return out
 
 
+def _rare_shingles(members: DataFrame, percent: int) -> DataFrame:
+    """``shingle, class, ...`` for the rarest shingles of each set, as many as sets of the similarity must share one of.
+
+    Sets with |x & y| >= t |x | y| share at least t |x| of x's shingles, so one of the |x| - ceil(t |x|) + 1 first in an
+    order common to all sets; the order goes by hashed counts over all members, and shingles of count 1 are left out.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            flat = batch.column("shingles").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            np.add.at(counts, (flat % np.uint64(COUNTERS)).astype(np.int64), 1)
+        seen = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["counter", "n"])
+
+    totals = members.select("shingles").mapInArrow(count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    found = totals.toArrow()
+    table = np.zeros(COUNTERS, dtype=np.uint32)
+    table[found.column("counter").to_numpy()] = np.minimum(found.column("n").to_numpy(), 2**32 - 1)
+    shared = members.sparkSession.sparkContext.broadcast(table)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            sets, owners, firsts = batch.column("shingles"), [], []
+            for row in range(batch.num_rows):
+                own = sets[row].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                counts = table[(own % np.uint64(COUNTERS)).astype(np.int64)]
+                take = len(own) - -(-percent * len(own) // 100) + 1
+                first = np.lexsort((own, counts))[:take]
+                first = first[counts[first] > 1]
+                firsts.append(own[first].view(np.int64))
+                owners.append(np.full(len(first), row))
+            at = pa.array(np.concatenate(owners))
+            rest = {name: batch.column(name).take(at) for name in batch.schema.names if name != "shingles"}
+            yield pa.RecordBatch.from_pydict({"shingle": pa.array(np.concatenate(firsts))} | rest)
+
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema.fields if f.name != "shingles")
+    return members.mapInArrow(rarest, f"shingle long, {kept}")
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -173,12 +220,12 @@ def near_duplicates(
     matches = least_matches(percent, coordinates) if matches is None else matches
     rows = written(_sketches(docs, id_col, text_col, width, coordinates), "sketches")
     worded = rows.where("signature is not null and id is not null")
-    # A class is named by its smallest id.  min() folds a hot class map-side; its signature is any of its equal ones.
+    # min() and first() fold a hot class map-side; its signature is any of its equal ones.
     classes = worded.groupBy("fingerprint").agg(
-        F.min("id").alias("head"), F.max("n").alias("n"), F.first("signature").alias("signature")
+        F.min("id").alias("head"), F.max("n").alias("n"), F.first("signature").alias("signature"), F.count(F.lit(1)).alias("rows")
     )
-    # One id may stand in several rows with different texts, so the fingerprint, not the head, names a class.
-    classes = written(classes.withColumnRenamed("fingerprint", "class"), "classes")
+    # One id may stand in several rows with different texts, so a class has a number of its own, fixed as it is written.
+    classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
 
     # Postings in order of rarity; values of one class only are skipped.
     posts = classes.select("class", F.posexplode("signature").alias("c", "v"))
@@ -203,79 +250,65 @@ def near_duplicates(
     sized = posted.join(lists, ["c", "v"])
     carried = classes.select("class", "n", "signature")
 
-    def met(left: DataFrame, right_key: str) -> DataFrame:
+    def met(pairs: DataFrame) -> DataFrame:
         """Pairs that agree in enough coordinates and whose sizes allow the similarity."""
         b = carried.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
         a = carried.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa"))
         agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
         fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-        return left.join(a, "a").join(b, (F.col("b") == F.col(right_key)) & fits & (agree >= matches)).select("a", "b")
+        return pairs.join(a, "a").join(b, "b").where(fits & (agree >= matches)).select("a", "b")
 
     short = sized.where(F.col("length") <= small).select("c", "v", "class")
     apart = short.select("c", "v", F.col("class").alias("a")).join(
-        short.select("c", "v", F.col("class").alias("other")), ["c", "v"]
-    ).where("a < other")
+        short.select("c", "v", F.col("class").alias("b")), ["c", "v"]
+    ).where("a < b")
     hubs = sized.where((F.col("length") > small) & (F.col("class") != F.col("hub"))).select(
-        F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("other")
+        F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")
     )
-    pairs = written(met(apart.select("a", "other").union(hubs).distinct(), "other"), "pairs")
+    pairs = written(met(apart.select("a", "b").union(hubs).distinct()), "pairs")
 
     long_lists = sized.where(F.col("length") > small).select("c", "v", "class")
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).union(
         long_lists.select("class")
     )
-    heads = classes.join(wanted.distinct(), "class", "left_semi").select("class", F.col("head").alias("id"), "signature")
-    sets = _sets(docs, heads, id_col, text_col, width).join(heads, ["id", "class"]).drop("id")
+    heads = classes.join(wanted.distinct(), "class", "left_semi").select("class", "fingerprint", F.col("head").alias("id"))
+    sets = _sets(docs, heads, id_col, text_col, width).join(heads, ["id", "fingerprint"]).select("class", "shingles")
     sets = written(sets.dropDuplicates(["class"]), "sets")
     links = written(_confirmed(pairs, sets, percent), "confirmed")
-
     if not long_lists.isEmpty():
-        grouped = components(links)
-        listed = long_lists.join(grouped.withColumnRenamed("node", "class"), "class", "left").select(
-            "c", "v", "class", F.coalesce("component", "class").alias("component")
-        )
-        listed = written(listed, "listed")
-        most = (
-            listed.groupBy("c", "v", "component")
-            .agg(F.count(F.lit(1)).alias("size"))
-            .groupBy("c", "v")
-            .agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.sum("size").alias("length"),
-                 F.max("size").alias("largest"))
-            .where("largest < length")
-            .withColumn("loose_blocks", F.ceil((F.col("length") - F.col("largest")) / block).cast("int"))
-            .withColumn("all_blocks", F.ceil(F.col("length") / block).cast("int"))
-            .drop("length", "largest")
-        )
-        lined = listed.join(most, ["c", "v"])
-        salted = F.xxhash64("class", "c")
-        loose = lined.where("component != main").select(
-            "c", "v", "class", "component", F.lit(0).alias("side"),
-            F.pmod(salted, "loose_blocks").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"),
-        )
-        every = lined.select(
-            "c", "v", "class", "component", F.lit(1).alias("side"),
-            F.explode(F.sequence(F.lit(0), F.col("loose_blocks") - 1)).alias("i"),
-            F.pmod(salted, "all_blocks").cast("int").alias("j"),
-        )
-        dealt = loose.union(every).join(sets, "class")
-        schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
-        more = dealt.groupBy("c", "v", "i", "j").applyInPandas(_block_links(percent, matches), schema)
-        links = links.union(written(more, "blocks"))
+        links = links.union(written(_long_links(long_lists, links, sets, carried, met, percent, matches, small, block), "long"))
 
     # Links between classes become links between ids; an id that stands in several classes links their heads.
     heads_only = classes.select("class", "head")
     linked = links.join(heads_only.select(F.col("class").alias("a"), F.col("head").alias("x")), "a").join(
         heads_only.select(F.col("class").alias("b"), F.col("head").alias("y")), "b"
     ).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    members = worded.join(heads_only.withColumnRenamed("class", "fingerprint"), "fingerprint").select("id", "head")
-    several = members.groupBy("id").agg(F.min("head").alias("least"), F.max("head").alias("most")).where("least < most")
-    repeats = members.join(several, "id").where("head > least").select(F.col("head").alias("a"), F.col("least").alias("b"))
+    several = worded.groupBy("id").agg(F.min("fingerprint").alias("least"), F.max("fingerprint").alias("most")).where("least < most")
+    of_several = worded.select("id", "fingerprint").join(several.select("id"), "id").distinct().join(
+        classes.select("fingerprint", "head"), "fingerprint"
+    )
+    least = of_several.groupBy("id").agg(F.min("head").alias("least"))
+    repeats = of_several.join(least, "id").where("head > least").select(F.col("head").alias("a"), F.col("least").alias("b"))
     found = components(linked.union(repeats))
-    head_of = classes.select(F.col("class").alias("fingerprint"), "head").join(found, F.col("head") == F.col("node"), "left").select(
-        "fingerprint", F.coalesce("component", "head").alias("component")
+    component_of = written(
+        classes.select("fingerprint", "head", "rows").join(found, F.col("head") == F.col("node"), "left").select(
+            "fingerprint", "rows", F.coalesce("component", "head").alias("component")
+        ),
+        "components",
     )
-    joined = rows.join(head_of, (rows.fingerprint == head_of.fingerprint) & rows.signature.isNotNull() & rows.id.isNotNull(), "left")
-    component = F.coalesce("component", "id")
+    # Rows of the largest classes find their component without a shuffle; of what is left, no class is more than one in
+    # HOT_CLASSES of all rows.  HOT_CLASSES rows of fixed width are broadcast, whatever the table's size.
+    hot = component_of.orderBy(F.desc("rows"), "fingerprint").limit(HOT_CLASSES).select(
+        F.col("fingerprint").alias("hot_fingerprint"), F.col("component").alias("hot_component")
+    )
+    own = F.when(F.col("signature").isNotNull() & F.col("id").isNotNull(), F.col("fingerprint"))
+    rows = rows.select("id", "n", own.alias("own"))
+    rows = rows.join(F.broadcast(hot), rows.own == hot.hot_fingerprint, "left")
+    # Rows that are done, or have no class, get a key that no class has and that spreads them.
+    open_ = F.col("hot_component").isNull() & F.col("own").isNotNull()
+    rows = rows.withColumn("key", F.when(open_, F.col("own")).otherwise(F.unhex(F.hex(F.xxhash64("id")))))
+    joined = rows.join(component_of, rows.key == component_of.fingerprint, "left")
+    component = F.coalesce("hot_component", "component", "id")
     return joined.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
@@ -283,3 +316,63 @@ def near_duplicates(
         component.eqNullSafe(F.col("id")).alias("kept"),
     )
 
+
+def _long_links(
+    lists: DataFrame, links: DataFrame, sets: DataFrame, carried: DataFrame, met: Callable[[DataFrame], DataFrame], percent: int,
+    matches: int, small: int, block: int,
+) -> DataFrame:
+    """``a, b``: links among the members of long lists that join the components that ``links`` leave apart."""
+    found = components(links).withColumnRenamed("node", "class")
+    listed = written(
+        lists.join(found, "class", "left").select("c", "v", "class", F.coalesce("component", "class").alias("component")), "listed"
+    )
+    # Lists of one component need no more links; a class outside the largest component of a list is loose.
+    main = _main(listed, "c", "v")
+    lined = listed.join(main.select("c", "v", "main"), ["c", "v"])
+    members = lined.groupBy("class", "component").agg(F.max(F.col("component") != F.col("main")).alias("loose"))
+    members = members.join(carried.select("class", "n"), "class")
+    posted = written(_rare_shingles(sets.join(members, "class"), percent), "rare")
+    told = posted.groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("length"), F.max("loose").alias("any_loose"), F.min("component").alias("least"), F.max("component").alias("most")
+    ).where("length > 1 and any_loose and least < most").select("shingle", "length")
+    sized = posted.join(told, "shingle")
+    side = sized.where(F.col("length") <= small)
+    pairs = side.select("shingle", *(F.col(x).alias(f"{x}_a") for x in ("class", "component", "loose"))).join(
+        side.select("shingle", *(F.col(x).alias(f"{x}_b") for x in ("class", "component", "loose"))), "shingle"
+    ).where("class_a < class_b and component_a != component_b and (loose_a or loose_b)")
+    links = _confirmed(met(pairs.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()), sets, percent)
+
+    crowded = sized.where(F.col("length") > small).select("shingle", "class", "component", "n")
+    blocks = _main(crowded, "shingle").withColumn(
+        "loose_blocks", F.ceil(F.greatest((F.col("length") - F.col("largest")) / block, F.col("loose_n") / BLOCK_SHINGLES)).cast("int")
+    ).withColumn("all_blocks", F.ceil(F.greatest(F.col("length") / block, F.col("n") / BLOCK_SHINGLES)).cast("int"))
+    crowded = crowded.drop("n").join(blocks.select("shingle", "main", "loose_blocks", "all_blocks"), "shingle")
+    salted = F.xxhash64("class", "shingle")
+    loose = crowded.where("component != main").select(
+        "shingle", "class", "component", F.lit(0).alias("side"),
+        F.pmod(salted, "loose_blocks").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("j"),
+    )
+    every = crowded.select(
+        "shingle", "class", "component", F.lit(1).alias("side"),
+        F.explode(F.sequence(F.lit(0), F.col("loose_blocks") - 1)).alias("i"), F.pmod(salted, "all_blocks").cast("int").alias("j"),
+    )
+    dealt = loose.union(every).join(sets.join(carried.select("class", "signature"), "class"), "class")
+    more = dealt.groupBy("shingle", "i", "j").applyInPandas(_block_links(percent, matches), "a long, b long")
+    return links.union(more)
+
+
+def _main(listed: DataFrame, *keys: str) -> DataFrame:
+    """The largest component of each list that has several, with classes (and shingles) of the list and outside it."""
+    weighed = listed if "n" in listed.columns else listed.withColumn("n", F.lit(0))
+    return (
+        weighed.groupBy(*keys, "component")
+        .agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
+        .groupBy(*keys)
+        .agg(
+            F.max_by("component", F.struct("size", "component")).alias("main"), F.sum("size").alias("length"), F.max("size").alias("largest"),
+            F.sum("n").alias("n"), F.max(F.struct("size", "component", "n")).alias("top"),
+        )
+        .where("largest < length")
+        .withColumn("loose_n", F.col("n") - F.col("top.n"))
+        .drop("top")
+    )
