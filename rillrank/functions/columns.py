@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Letters and digits of any script and the underscore; Java's ``\\w`` would be ASCII only.
 WORD = r"[\p{L}\p{N}_]+"
@@ -33,11 +34,6 @@ def last_n(array: Column, n: int) -> Column:
     return F.slice(array, F.greatest(F.size(array) - n + 1, F.lit(1)), F.lit(n))
 
 
-def decay(age_days: Column, half_life: float) -> Column:
-    """Weight halved every ``half_life`` days."""
-    return F.pow(F.lit(0.5), age_days / half_life)
-
-
 def ratio(a: Column, b: Column) -> Column:
     """a / b as double; null where b is zero."""
     return a.cast("double") / F.nullif(b.cast("double"), F.lit(0.0))
@@ -57,6 +53,15 @@ def normalised(vector: Column) -> Column:
     )
 
 
+def few(table: DataFrame, rows: int = 10_000) -> DataFrame:
+    """The table marked for broadcast; the query fails where it has more than ``rows`` rows, so the size is proven."""
+    counted = table.limit(rows + 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    held = F.when(F.col("_n") <= rows, F.lit(True)).otherwise(
+        F.raise_error(F.lit(f"a table to broadcast has more than {rows} rows")).cast("boolean")
+    )
+    return F.broadcast(counted.where(held).drop("_n"))
+
+
 def mebibytes(size: Column) -> Column:
     """Bytes as MiB."""
     return size / (1024.0 * 1024.0)

@@ -9,10 +9,10 @@ from pyspark.sql.window import Window
 from rillrank.config import (
     COLD_START_MAX_CLICKS, DAY_US, HALF_LIFE_DAYS, HOUR_US, MINUTE_US, N_RECENT_CLICKS, SESSION_GAP_MINUTES,
 )
-from rillrank.functions.columns import normalised, ratio
+from rillrank.functions.columns import few, normalised, ratio
 
-#: Half-lives on either side of a user's middle time within which 2^x stays a double.
-_SPAN = 1000.0
+#: Half-lives of an epoch: weights relative to its start stay doubles, and what is two epochs old weighs below 2^-400.
+_EPOCH = 400.0
 
 
 def distinct_impressions(impressions: DataFrame, *extra: str) -> DataFrame:
@@ -28,10 +28,10 @@ def click_history(
 
     Clicks and impressions of a user are one sequence; a value-range frame that ends a microsecond before the current
     instant gives the as-of semantics in one sort, without a join of every click with every later impression.  The
-    decayed sum is a windowed sum of weights relative to the middle of the user's click times.  Recent ids join by
-    click number, ``n_recent`` numbers an impression, so no list grows with a user's history.
+    decayed sum is a windowed sum of weights relative to the start of their epoch, plus the whole epoch before; older
+    clicks weigh less than a double can add to these.  Recent ids join by click number, ``n_recent`` numbers an
+    impression, so no list grows with a user's history.
     """
-    span = history.groupBy("dataset", "user_id").agg(((F.min("us") + F.max("us")) / 2).cast("long").alias("mid_us"))
     numbered = history.withColumn(
         "k", F.row_number().over(Window.partitionBy("dataset", "user_id").orderBy("us", "source_row", "hist_pos"))
     )
@@ -39,21 +39,28 @@ def click_history(
     unit = half_life * DAY_US
     events = numbered.select("dataset", "user_id", "us", F.lit(None).cast("string").alias("impression_id")).unionByName(
         asked.select("dataset", "user_id", "us", "impression_id")
-    ).join(span, ["dataset", "user_id"], "left")
+    )
     is_click = F.col("impression_id").isNull()
-    shift = F.greatest(F.least((F.col("us") - F.col("mid_us")) / F.lit(unit), F.lit(_SPAN)), F.lit(-_SPAN))
     before = Window.partitionBy("dataset", "user_id").orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
+    epoch = F.floor(F.col("us") / F.lit(unit * _EPOCH))
+    own = Window.partitionBy("dataset", "user_id", "epoch").orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
+    last = Window.partitionBy("dataset", "user_id").orderBy("epoch").rangeBetween(-1, -1)
+    weight = F.when(is_click, F.pow(F.lit(2.0), "shift"))
     seen = (
-        events.withColumn("shift", shift)
+        events.withColumn("epoch", epoch)
+        .withColumn("shift", F.col("us") / F.lit(unit) - F.col("epoch") * _EPOCH)
         .withColumn("n_clicks_before", F.count(F.when(is_click, 1)).over(before))
         .withColumn("last_us", F.max(F.when(is_click, F.col("us"))).over(before))
-        .withColumn("weights", F.sum(F.when(is_click, F.pow(F.lit(2.0), "shift"))).over(before))
+        .withColumn("weights", F.coalesce(F.sum(weight).over(own), F.lit(0.0)))
+        .withColumn("older", F.coalesce(F.sum(weight).over(last), F.lit(0.0)))
         .where(~is_click)
     )
     scalars = seen.select(
         "impression_id", "dataset", "user_id", "us", "n_clicks_before",
         ((F.col("us") - F.col("last_us")) / F.lit(DAY_US)).alias("days_since_last_click"),
-        F.coalesce(F.col("weights") * F.pow(F.lit(2.0), -F.col("shift")), F.lit(0.0)).alias("recency_weighted_click_count"),
+        F.coalesce(
+            (F.col("weights") + F.col("older") * F.lit(2.0**-_EPOCH)) * F.pow(F.lit(2.0), -F.col("shift")), F.lit(0.0)
+        ).alias("recency_weighted_click_count"),
         (F.col("n_clicks_before") <= COLD_START_MAX_CLICKS).alias("is_cold_start"),
     )
     wanted = scalars.where("n_clicks_before > 0").select(
@@ -123,17 +130,18 @@ def article_popularity(impressions: DataFrame) -> DataFrame:
     """Adds clicks and impressions of the article strictly before the candidate's instant, and their ratio.
 
     Candidates are first summed by (article, instant) with map-side combining, so a hot article costs one row per
-    instant in the window and its candidates stay spread by instant in the join back.
+    instant in the window and its candidates stay spread by instant in the join back.  A candidate without a time stays,
+    with null counts, and counts for no other.
     """
     keys = ["dataset", "article_id", "us"]
-    instants = impressions.groupBy(*keys).agg(F.sum("clicked").alias("c"), F.count(F.lit(1)).alias("n"))
+    instants = impressions.where("us is not null").groupBy(*keys).agg(F.sum("clicked").alias("c"), F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("dataset", "article_id").orderBy("us").rowsBetween(Window.unboundedPreceding, -1)
     running = instants.select(
         *keys,
         F.coalesce(F.sum("c").over(before), F.lit(0)).alias("cum_clicks_prior"),
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("cum_impressions_prior"),
     )
-    return impressions.join(running, keys).withColumn(
+    return impressions.join(running, keys, "left").withColumn(
         "popularity_prior_ctr", ratio(F.col("cum_clicks_prior"), F.col("cum_impressions_prior"))
     )
 
@@ -184,7 +192,7 @@ def behavioral(impressions: DataFrame, history: DataFrame, articles: DataFrame,
     return (
         candidates.join(scalars, "impression_id", "left")
         .join(visits, "impression_id", "left")
-        .join(position_prior(impressions), ["dataset", "position"], "left")
+        .join(few(position_prior(impressions), 100_000), ["dataset", "position"], "left")
     )
 
 

@@ -100,14 +100,16 @@ def by_slice(judged: DataFrame, slices: dict[str, Column], metrics: tuple[str, .
     )
 
 
-def hit_rates(retrieved: DataFrame, truth: DataFrame, ks: tuple[int, ...], *, keys: tuple[str, ...] = ("impression_id",)) -> DataFrame:
-    """Share of scored impressions with any clicked article among their first k.
+def hit_rates(
+    retrieved: DataFrame, truth: DataFrame, ks: tuple[int, ...], *, keys: tuple[str, ...] = ("impression_id",), by: tuple[str, ...] = ()
+) -> DataFrame:
+    """Share of scored impressions with any clicked article among their first k, in all or by columns of ``truth``.
 
     ``retrieved``: keys, article_id, rank; impressions are those of ``truth`` that were asked (column ``asked``).
     """
     found = retrieved.join(truth.select(*keys, "article_id"), [*keys, "article_id"]).groupBy(*keys).agg(F.min("rank").alias("first"))
-    asked = truth.where("asked").select(*keys).distinct()
-    return asked.join(found, list(keys), "left").agg(
+    asked = truth.where("asked").select(*keys, *by).distinct()
+    return asked.join(found, list(keys), "left").groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         *(F.avg(F.coalesce(F.col("first") <= k, F.lit(False)).cast("double")).alias(f"hit_rate_{k}") for k in ks),
     )

@@ -15,8 +15,9 @@ from rillrank.operators import bm25, dense
 from rillrank.operators.behavioral import history_vectors
 from rillrank.plans.scratch import written
 
-#: Stands in for a missing value: below every feature's range, so a split can send it to a side of its own.
-MISSING = -1.0
+#: Stands in for a missing value: below every feature's range (similarities reach -1), so a split can send it to a side
+#: of its own.
+MISSING = -2.0
 
 
 def add_retrieval_scores(candidates: DataFrame, clicks: DataFrame, texts: DataFrame, index: DataFrame, vectors: DataFrame, *, n_recent: int = 5) -> DataFrame:

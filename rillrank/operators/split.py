@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillrank.config import DAY_US
+from rillrank.functions.columns import few
 
 #: (test days, validation days) by dataset.
 SPLIT_DAYS = {"even": (60, 60), "odd": (120, 120)}
@@ -14,7 +15,8 @@ SPLIT_DAYS = {"even": (60, 60), "odd": (120, 120)}
 def temporal_split(impressions: DataFrame, days: dict[str, tuple[int, int]], default: tuple[int, int] = (1, 1)) -> DataFrame:
     """Adds ``split``: test within the last test days of its dataset, val within the days before, else train.
 
-    A null time is train.  The latest times are one row per dataset and join back without moving the impressions.
+    A null time is train.  The latest times are one row per dataset, broadcast behind a check of their number, so that
+    impressions don't move.
     """
     latest = impressions.groupBy("dataset").agg(F.max("us").alias("latest_us"))
     test, val = F.lit(default[0]), F.lit(default[1])
@@ -25,7 +27,7 @@ def temporal_split(impressions: DataFrame, days: dict[str, tuple[int, int]], def
         "val_us", F.col("test_us") - val * DAY_US
     )
     split = F.when(F.col("us") >= F.col("test_us"), "test").when(F.col("us") >= F.col("val_us"), "val").otherwise("train")
-    return impressions.join(latest, "dataset", "left").withColumn("split", split).drop("latest_us", "test_us", "val_us")
+    return impressions.join(few(latest), "dataset", "left").withColumn("split", split).drop("latest_us", "test_us", "val_us")
 
 
 def split_counts(impressions: DataFrame) -> DataFrame:

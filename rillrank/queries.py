@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillrank import config
-from rillrank.functions.columns import tokens
+from rillrank.functions.columns import few, tokens
 from rillrank.operators import behavioral as bh
 from rillrank.operators import beyond, bm25, bootstrap, dense, metrics, nrms, rerank, serving, split, store, submit
-from rillrank.plans import adapters
+from rillrank.plans import adapters, runs
 from rillrank.plans.scratch import written
 from rillrank.sources import array_layout, tab_layout
 from rillrank.sql import judged, query, r6
@@ -222,6 +222,16 @@ def article_dynamic(s: SparkSession, d: str) -> DataFrame:
     return _rounded(out, "popularity_prior_ctr")
 
 
+@_query("article_dynamic_timeless", query("imp", f"""
+SELECT impression_id, article_id, position, CASE WHEN us IS NOT NULL THEN CAST(coalesce(sum(clicked) OVER w, 0) AS BIGINT) END AS cum_clicks_prior,
+       CASE WHEN us IS NOT NULL THEN count(*) OVER w END AS cum_impressions_prior FROM (SELECT * REPLACE (CASE WHEN CAST(impression_id AS BIGINT) % 5 > 0 THEN us END AS us) FROM imp)
+WINDOW w AS (PARTITION BY dataset, article_id, us IS NULL ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""))
+def article_dynamic_timeless(s: SparkSession, d: str) -> DataFrame:
+    """Popularity where a fifth of the impressions has no time: these stay, without counts."""
+    shown = _imp(s, d).withColumn("us", F.when(F.col("impression_id").cast("long") % 5 > 0, F.col("us")))
+    return bh.article_popularity(shown).select("impression_id", "article_id", "position", "cum_clicks_prior", "cum_impressions_prior")
+
+
 @_query("freshness", query("fresh", f"SELECT impression_id, article_id, position, category, {r6('freshness_hours')} AS freshness_hours FROM fresh"))
 def freshness(s: SparkSession, d: str) -> DataFrame:
     out = bh.freshness(_split(s, d), adapters.articles(s, d)).select("impression_id", "article_id", "position", "category", "freshness_hours")
@@ -274,7 +284,11 @@ def behavioral(s: SparkSession, d: str) -> DataFrame:
     return _rounded(out, "popularity_prior_ctr", "freshness_hours", "category_match_frac", "recency_weighted_click_count", "position_ctr_prior")
 
 
-@_query("no_leakage", "SELECT 0::BIGINT AS negative_clicks, 0::BIGINT AS negative_days, 0::BIGINT AS clicks_over_impressions, 0::BIGINT AS negative_freshness, 0::BIGINT AS session_clicks_over_impressions")
+@_query("no_leakage", query("catm clk ses", """
+SELECT count(*) FILTER (n_clicks_before < 0) AS negative_clicks, count(*) FILTER (c.us - last_us <= 0) AS negative_days,
+       count(*) FILTER (cum_clicks_prior > cum_impressions_prior) AS clicks_over_impressions, count(*) FILTER (freshness_hours < 0) AS negative_freshness,
+       count(*) FILTER (clicks_before > impressions_before) AS session_clicks_over_impressions
+FROM catm m JOIN clk c USING (impression_id) JOIN ses s USING (impression_id)"""))
 def no_leakage(s: SparkSession, d: str) -> DataFrame:
     return bh.leakage(_behavioral(s, d))
 
@@ -353,7 +367,7 @@ def bm25_postings(s: SparkSession, d: str) -> DataFrame:
 
 @_query("bm25_topk", query("dpst dpstt", f"""
 SELECT query_id, article_id, rk AS rank, {r6('score')} AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, article_id) AS rk FROM (
-  SELECT q.article_id AS query_id, p.article_id, sum(weight) AS score FROM dpstt q JOIN dpst p USING (term) WHERE q.article_id IN ('1', '19', '34', '41') GROUP BY ALL)) WHERE rk <= 20"""))
+  SELECT q.article_id AS query_id, p.article_id, sum(weight) AS score FROM dpstt q JOIN dpst p USING (term) WHERE CAST(q.article_id AS BIGINT) % 50 = 0 GROUP BY ALL)) WHERE rk <= 20"""))
 def bm25_topk(s: SparkSession, d: str) -> DataFrame:
     docs = adapters.corpus(s, d)
     # Every document whose id is divisible by 50 is a query; the whole corpus is searched.
@@ -442,6 +456,35 @@ def retrieval_compare(s: SparkSession, d: str) -> DataFrame:
     return both.select("method", "n", *(f"hit_rate_{k}" for k in config.RECALL_KS))
 
 
+def _cold(users: DataFrame) -> DataFrame:
+    """Users with no more train clicks than the lower quartile of their dataset."""
+    quartile = few(users.groupBy("dataset").agg(F.percentile("n_clicks", 0.25).alias("p25")))
+    return users.join(quartile, "dataset").select("who", F.when(F.col("n_clicks") <= F.col("p25"), "cold").otherwise("warm").alias("slice"))
+
+
+def _slice_sql(method: str, top: str, asked: str) -> str:
+    rates = ", ".join(f"{r6(f'avg(CASE WHEN first <= {k} THEN 1.0 ELSE 0.0 END)')} AS hit_rate_{k}" for k in config.RECALL_KS)
+    return f"""SELECT slice, '{method}' AS method, count(*) AS n, {rates} FROM (
+SELECT t.impression_id, slice, min(rk) AS first FROM truth t JOIN cold USING (who) LEFT JOIN {top} u ON t.who = u.who AND t.article_id = u.article_id
+WHERE t.who IN (SELECT who FROM {asked}) GROUP BY ALL) GROUP BY slice"""
+
+
+@_query("retrieval_slices", query("truth utop uqry vtop uvec cold", f"{_slice_sql('lexical', 'utop', 'uqry')} UNION ALL {_slice_sql('semantic', 'vtop', 'uvec')}"))
+def retrieval_slices(s: SparkSession, d: str) -> DataFrame:
+    """Hit rates of both retrievers for users below and above the lower quartile of train clicks."""
+    users = written(_who(_users(s, d)), "users")
+    terms = bm25.history_queries(users, _texts(s, d), id_col="who", n_recent=5)
+    found = {"lexical": bm25.top_k(terms, _index(s, d), 200, query_col="who"), "semantic": _near(s, d)}
+    parts = []
+    for method, near in found.items():
+        near = written(near, "near")
+        asked = terms if method == "lexical" else near
+        truth = _truth(s, d, asked).join(_cold(users), "who")
+        retrieved = truth.where("asked").select("impression_id", "who").distinct().join(near, "who").select("impression_id", "article_id", "rank")
+        parts.append(metrics.hit_rates(retrieved, truth, config.RECALL_KS, by=("slice",)).withColumn("method", F.lit(method)))
+    return _rounded(parts[0].unionByName(parts[1]), *(f"hit_rate_{k}" for k in config.RECALL_KS))
+
+
 @_query("hashed_embeddings")
 def hashed_embeddings(s: SparkSession, d: str) -> DataFrame:
     return dense.hashed_embeddings(adapters.corpus(s, d))
@@ -524,6 +567,25 @@ def submission_ranks(s: SparkSession, d: str) -> DataFrame:
     return submit.submission_lines(_popular(s, d), "score")
 
 
+@_query("hybrid_submission", query("norm", """
+SELECT impression_id, impression_id || ' [' || string_agg(CAST(rk AS VARCHAR), ',' ORDER BY position) || ']' AS line
+FROM (SELECT *, row_number() OVER (PARTITION BY impression_id ORDER BY round(0.3 * bm25_norm + 0.7 * semantic_norm, 9) DESC, position) AS rk FROM norm WHERE split = 'test')
+GROUP BY impression_id"""))
+def hybrid_submission(s: SparkSession, d: str) -> DataFrame:
+    """The test impressions, without their labels, as a ranked submission."""
+    asked = _split(s, d).where("split = 'test'").drop("clicked", "split")
+    return runs.hybrid_submission(asked, adapters.history(s, d), _texts(s, d), _index(s, d), adapters.vectors(s, d), alpha=0.3)
+
+
+@_query("full_evaluation")
+def full_evaluation(s: SparkSession, d: str) -> DataFrame:
+    """Accuracy, diversity, novelty and coverage of both retrievers and their mix, by slice, with intervals."""
+    scored = metrics.hybrid(_norm(s, d), 0.3)
+    return runs.full_evaluation(
+        scored, {"bm25": "bm25_score", "semantic": "semantic_score", "hybrid": "hybrid"}, _clicks(s, d), adapters.articles(s, d), adapters.vectors(s, d)
+    )
+
+
 @_query("popularity_position_prior", query("imp", f"""
 SELECT 'article' AS kind, article_id AS key, {r6('avg(clicked)')} AS ctr, count(*) AS n FROM imp GROUP BY article_id
 UNION ALL SELECT 'position', CAST(position AS VARCHAR), {r6('avg(clicked)')}, count(*) FROM imp GROUP BY position"""))
@@ -545,7 +607,7 @@ def bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
 
 @_query("poisson_bootstrap_ci")
 def poisson_bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
-    return bootstrap.poisson_ci(_values(s, d), keys=("split",), rounds=200)
+    return bootstrap.poisson_ci(_values(s, d), keys=("split",))
 
 
 @_query("paired_bootstrap")
@@ -571,14 +633,21 @@ def _ranker(table: DataFrame) -> rerank.Ranker:
 
 @_query("rerank_lambdamart")
 def rerank_lambdamart(s: SparkSession, d: str) -> DataFrame:
-    """Mean test metrics before and after reranking; ten trees keep the query short, the operator's default is 200."""
+    """Metrics before and after reranking, with intervals; ten trees keep the query short, the operator's default is 200."""
     table = metrics.cap_top_k(_ranking_table(s, d), "semantic_score", config.STAGE1_K)
-    ranker = _ranker(table)
-    scored = ranker.score(table.where("split = 'test'"))
-    parts = [
-        metrics.evaluate_scores(scored, c).withColumn("stage", F.lit(n)) for n, c in (("before", "semantic_score"), ("after", "rank_score"))
-    ]
-    return parts[0].unionByName(parts[1]).groupBy("stage").agg(F.count(F.lit(1)).alias("n"), *(F.avg(m).alias(m) for m in ("auc", "mrr", "ndcg5", "ndcg10")))
+    scored = written(_ranker(table).score(table.where("split != 'train'")), "scored")
+    return runs.before_and_after(scored, "semantic_score", "rank_score")
+
+
+@_query("reranked_submission")
+def reranked_submission(s: SparkSession, d: str) -> DataFrame:
+    """The test impressions, without their labels, ranked by the ranker of rerank_lambdamart."""
+    ranker = _ranker(metrics.cap_top_k(_ranking_table(s, d), "semantic_score", config.STAGE1_K))
+    shown = _split(s, d)
+    return runs.reranked_submission(
+        shown.where("split = 'test'").drop("clicked", "split"), shown.where("split != 'test'"), adapters.history(s, d), adapters.articles(s, d),
+        _texts(s, d), _index(s, d), adapters.vectors(s, d), ranker, gap_minutes=GAP_MINUTES,
+    )
 
 
 @_query("article_store", query("art imp", f"""
@@ -622,12 +691,12 @@ def serving_capacity(s: SparkSession, d: str) -> DataFrame:
 
 @_query("index_bytes", query("pst vec", """
 SELECT 'postings' AS part, count(*) AS rows, CAST(sum(strlen(term) + strlen(article_id) + 16) AS BIGINT) AS bytes FROM pst
-UNION ALL SELECT 'vectors', count(*), CAST(sum(strlen(article_id) + 4 * len(v)) AS BIGINT) FROM vec"""))
+UNION ALL SELECT 'vectors', count(*), CAST(sum(strlen(article_id) + 4 * len(v)) AS BIGINT) FROM vec""").replace("WITH ", f"SELECT *, {r6('bytes / 1048576.0')} AS mib FROM (WITH ", 1) + ")")
 def index_bytes(s: SparkSession, d: str) -> DataFrame:
-    return serving.index_bytes(bm25.postings(_texts(s, d)), adapters.vectors(s, d))
+    return _rounded(serving.index_bytes(bm25.postings(_texts(s, d)), adapters.vectors(s, d)), "mib")
 
 
-_VOCAB = "(SELECT term, CAST(row_number() OVER (ORDER BY sum(tf) DESC, term) + 1 AS INTEGER) AS id FROM dpstt GROUP BY term QUALIFY row_number() OVER (ORDER BY sum(tf) DESC, term) <= 998)"
+_VOCAB = "(SELECT term, CAST(row_number() OVER (ORDER BY sum(tf) DESC, term) + 1 AS INTEGER) AS id FROM dpstt GROUP BY term QUALIFY row_number() OVER (ORDER BY sum(tf) DESC, term) <= 19998)"
 
 
 @_query("vocab", query("dpstt", f"SELECT * FROM {_VOCAB}"))
@@ -643,7 +712,10 @@ def encode_titles(s: SparkSession, d: str) -> DataFrame:
     return coded.select("article_id", F.concat_ws(",", F.transform("ids", lambda x: x.cast("string"))).alias("ids"))
 
 
-@_query("negative_sample")
+@_query("negative_sample", query("imp", f"""
+SELECT impression_id, article_id, position, clicked FROM (SELECT *, max(clicked) OVER (PARTITION BY impression_id) AS any_click,
+  row_number() OVER (PARTITION BY impression_id, clicked ORDER BY md5(impression_id || ':' || CAST(position AS VARCHAR) || ':{config.SEED}'), position) AS spot FROM imp)
+WHERE any_click = 1 AND (clicked = 1 OR spot <= 4)"""))
 def negative_sample(s: SparkSession, d: str) -> DataFrame:
     return nrms.negative_sample(_imp(s, d)).select("impression_id", "article_id", "position", "clicked")
 
@@ -662,6 +734,14 @@ def nrms_score(s: SparkSession, d: str) -> DataFrame:
     return judged_.agg(F.count(F.lit(1)).alias("n"), *(F.avg(m).alias(m) for m in ("auc", "mrr", "ndcg5", "ndcg10")))
 
 
+@_query("nrms_comparison")
+def nrms_comparison(s: SparkSession, d: str) -> DataFrame:
+    """The neural ranker without and with categories and their paired difference; sizes as in nrms_score."""
+    return runs.neural_comparison(
+        _split(s, d), _clicks(s, d), adapters.articles(s, d), length=6, history=10, max_rows=2000, epochs=1, width=16, heads=2
+    )
+
+
 @_query("click_stream_sessions", """
 SELECT user_id, session, count(*) AS events, CAST(sum(CAST(event_type = 'click' AS INTEGER)) AS BIGINT) AS clicks FROM (
   SELECT *, CAST(sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS session FROM (

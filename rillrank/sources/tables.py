@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
@@ -37,6 +38,18 @@ def save_vectors(vectors: DataFrame, path: str) -> None:
     vectors.select("article_id", F.col("vec").cast("array<float>").alias("vec")).write.mode("overwrite").parquet(path)
 
 
+def load_vectors(spark: SparkSession, path: str) -> DataFrame | None:
+    """The vectors saved at a path, or None where there are none."""
+    return load_if_there(spark, path)
+
+
+def cached_vectors(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The vectors saved at a path; made and saved first where there are none."""
+    if load_vectors(spark, path) is None:
+        save_vectors(make(), path)
+    return spark.read.parquet(path)
+
+
 def unzip(archive: str, folder: str) -> None:
     """Unpack unless the folder already holds something; a single nested folder is hoisted."""
     target = Path(folder)

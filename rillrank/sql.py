@@ -132,6 +132,9 @@ _cte("usr", "spl hist", """
          row_number() OVER (PARTITION BY h.dataset, h.user_id ORDER BY h.us DESC, source_row DESC, hist_pos DESC) AS back,
          row_number() OVER (PARTITION BY h.dataset, h.user_id ORDER BY h.us, source_row, hist_pos) AS k
   FROM hist h JOIN (SELECT dataset, max(us) AS cutoff FROM spl WHERE split = 'train' GROUP BY dataset) c ON h.dataset = c.dataset AND h.us <= cutoff""")
+_cte("cold", "usr", """
+  SELECT dataset || '|' || user_id AS who, CASE WHEN n <= quantile_cont(n, 0.25) OVER (PARTITION BY dataset) THEN 'cold' ELSE 'warm' END AS slice
+  FROM (SELECT dataset, user_id, count(*) AS n FROM usr GROUP BY ALL)""")
 _cte("qry", "rec pstt clk", """
   SELECT DISTINCT impression_id, term FROM (SELECT rec.*, n_clicks_before FROM rec JOIN clk USING (impression_id)) x
   JOIN pstt t ON x.article_id = t.article_id WHERE k > n_clicks_before - 5""")

@@ -90,3 +90,15 @@ def test_later_events_change_nothing_earlier(spark, history, articles):
     more = history.union(spark.createDataFrame([("d", "u1", "a3", 8 * DAY_US, 5, 0)], HIST))
     after = {tuple(r) for r in bh.behavioral(shown.union(later).repartition(3), more, articles).where("impression_id != 'z'").select(names).collect()}
     assert before == after
+
+
+def test_decay_over_many_half_lives(spark):
+    """Clicks an hour apart and a half-life of a minute: sums span thousands of half-lives."""
+    hour = 3_600_000_000
+    history = spark.createDataFrame([("d", "u", f"a{i}", i * hour, 0, i) for i in range(400)], "dataset string, user_id string, article_id string, us long, source_row long, hist_pos int")
+    shown = spark.createDataFrame([(f"i{i}", "d", "u", "a", i * hour + 60_000_000) for i in range(400)], "impression_id string, dataset string, user_id string, article_id string, us long")
+    for half_life in (1 / 1440, 1 / 24, 0.5):
+        got = {r.impression_id: r.recency_weighted_click_count for r in bh.click_history(shown, history, half_life=half_life).collect()}
+        for i in (0, 1, 57, 399):
+            want = sum(0.5 ** (((i - j) * hour + 60_000_000) / (half_life * 86_400_000_000)) for j in range(i + 1))
+            assert got[f"i{i}"] == pytest.approx(want)

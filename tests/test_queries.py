@@ -37,6 +37,6 @@ def test_matches_sql(spark, duck, name):
     assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["bootstrap_ci", "poisson_bootstrap_ci", "negative_sample", "hashed_embeddings", "serve_batch"])
+@pytest.mark.parametrize("name", ["bootstrap_ci", "poisson_bootstrap_ci", "hashed_embeddings", "serve_batch", "full_evaluation"])
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0

@@ -215,3 +215,69 @@ def test_nrms_gradient_is_the_slope():
     node.value = kept.copy(); node.value[1, 2] -= 1e-5
     down = model.logits(batch).value[0]
     assert got == pytest.approx((up - down) / 2e-5, rel=1e-4, abs=1e-8)
+
+
+def test_negative_sample_leaves_out_impressions_without_a_click(spark):
+    rows = [("i1", f"a{j}", j, int(j == 2)) for j in range(8)] + [("i2", f"a{j}", j, 0) for j in range(6)]
+    out = nrms.negative_sample(spark.createDataFrame(rows, "impression_id string, article_id string, position int, clicked int")).collect()
+    assert len(out) == 5 and {r.impression_id for r in out} == {"i1"} and sum(r.clicked for r in out) == 1
+
+
+def test_examples_keep_unknown_articles(spark):
+    articles = spark.createDataFrame([("a1", "red fox", "animals")], "article_id string, title string, category string")
+    shown = spark.createDataFrame([("i", "a1", 0, 1), ("i", "zz", 1, 0)], "impression_id string, article_id string, position int, clicked int")
+    clicks = spark.createDataFrame([("i", ["zz", "a1"])], "impression_id string, recent_article_ids array<string>")
+    out = {r.article_id: r for r in nrms.examples(shown, clicks, articles, nrms.vocabulary(articles), nrms.category_vocabulary(articles), length=3).collect()}
+    assert out["zz"].ids == [0, 0, 0] and out["zz"].cat == 0 and out["a1"].cat == 1
+    assert out["a1"].hist_ids[0] == [0, 0, 0] and out["a1"].hist_cats == [0, 1]
+
+
+def test_few_fails_beyond_its_bound(spark):
+    from pyspark.errors import PySparkException
+
+    from rillrank.functions.columns import few
+
+    assert few(spark.range(5), 5).count() == 5 and few(spark.range(0), 5).count() == 0
+    with pytest.raises(PySparkException, match="more than 5 rows"):
+        few(spark.range(6), 5).collect()
+
+
+def test_split_moves_no_impressions(spark):
+    from rillrank.operators import split
+
+    shown = spark.range(1000).selectExpr("'d' as dataset", "id * 86400000000 as us", "id")
+    out = split.temporal_split(shown, {}, (1, 1))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(dataset" not in plan.split("BroadcastExchange")[0]
+    assert {r["split"]: r["count"] for r in out.groupBy("split").count().collect()} == {"test": 2, "val": 1, "train": 997}
+
+
+def test_embed_and_cached_vectors(spark, tmp_path):
+    texts = spark.createDataFrame([("1", "aa b"), ("2", None)], "article_id string, text string")
+    path, made = str(tmp_path / "vectors"), []
+
+    def make():
+        made.append(1)
+        return dense.embed(texts, lambda batch: np.array([[t.count("a"), t.count("b")] for t in batch]))
+
+    for _ in range(2):
+        got = {r.article_id: r.vec for r in tables.cached_vectors(spark, path, make).collect()}
+    assert len(made) == 1 and got["2"] == [0.0, 0.0] and got["1"] == pytest.approx([2 / 5**0.5, 1 / 5**0.5])
+
+
+def test_build_and_reports(spark, tmp_path):
+    from rillrank.plans import adapters, runs
+
+    d = "/root/testdata/sf0.001"
+    paths = runs.build(adapters.impressions(spark, d), adapters.history(spark, d), adapters.articles(spark, d), str(tmp_path), days={"even": (60, 60), "odd": (120, 120)})
+    features = spark.read.parquet(paths["behavioral"])
+    assert features.count() == adapters.impressions(spark, d).count()
+    scored = features.withColumn("noise", F.rand(1)).withColumn("best", F.col("clicked").cast("double"))
+    out = {(r.split, r.stage, r.metric): r for r in runs.before_and_after(scored.where("split != 'train'"), "noise", "best").collect()}
+    assert out["test", "after", "mrr"].mean == 1.0 and out["test", "before", "mrr"].lower < out["test", "before", "mrr"].mean < 1.0
+    clicks = features.groupBy("impression_id").agg(F.first("is_cold_start").alias("is_cold_start"))
+    whole = runs.full_evaluation(scored, {"noise": "noise", "best": "best"}, clicks, adapters.articles(spark, d), adapters.vectors(spark, d)).collect()
+    assert {r.metric for r in whole} == {"auc", "mrr", "ndcg5", "ndcg10", "diversity", "novelty", "coverage"}
+    n = {(r["slice"], r.split): r.n for r in whole if r.method == "best" and r.metric == "mrr"}
+    for part in ("val", "test"):
+        assert n["overall", part] == n.get(("cold", part), 0) + n.get(("warm", part), 0) == n.get(("head", part), 0) + n.get(("tail", part), 0)
