@@ -154,6 +154,17 @@ def _presence(sets: list[np.ndarray], part: np.ndarray) -> np.ndarray:
     return out
 
 
+def _parts(batches: Iterator[pa.RecordBatch], shingles: int = BLOCK_SHINGLES) -> Iterator[pa.RecordBatch]:
+    """Cut batches into parts of at most so many shingles, one row at least."""
+    for batch in batches:
+        ends = batch.column("shingles").offsets.to_numpy()
+        start = 0
+        while start < batch.num_rows:
+            end = max(int(np.searchsorted(ends, ends[start] + shingles, side="right")) - 1, start + 1)
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def _rare_shingles(members: DataFrame, percent: int) -> DataFrame:
     """``shingle, class, ...`` for the rarest shingles of each set, as many as sets of the similarity must share one of.
 
@@ -163,9 +174,9 @@ def _rare_shingles(members: DataFrame, percent: int) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, dtype=np.int64)
-        for batch in batches:
+        for batch in _parts(batches):
             flat = batch.column("shingles").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            np.add.at(counts, (flat % np.uint64(COUNTERS)).astype(np.int64), 1)
+            counts += np.bincount((flat % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["counter", "n"])
 
@@ -177,7 +188,7 @@ def _rare_shingles(members: DataFrame, percent: int) -> DataFrame:
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for batch in batches:
+        for batch in _parts(batches):
             sets, owners, firsts = batch.column("shingles"), [], []
             for row in range(batch.num_rows):
                 own = sets[row].values.to_numpy(zero_copy_only=False).view(np.uint64)
