@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillrank.llm.common import written
+
 #: The white space that normalisation deletes: space and the control characters 0x09-0x0D.
 WHITE_SPACE = " \t\n\x0b\f\r"
 
@@ -60,6 +62,8 @@ def exact_groups(
         F.expr(f"cast({_TOP} - pmod(best, cast({_STEP} as decimal(38,0))) as long)").alias("group_keep"),
         "size",
     )
+    # Written, as two joins read it: a row of fixed width for each content that repeats, without its text.
+    keepers = written(keepers, "keepers")
     # Rows of the largest groups find their keeper without a shuffle; of what is left, no group is more than one in
     # HOT_GROUPS of all rows.  HOT_GROUPS rows of fixed width are broadcast, whatever the table's size.
     hot = keepers.orderBy(F.desc("size"), "group_h", "group_digest").limit(HOT_GROUPS).select(
