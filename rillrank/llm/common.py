@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -67,6 +68,13 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def trim() -> None:
+    """Give memory that a worker has freed back to the system: workers outlive tasks and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into slices of at most ``limit`` bytes of ``column`` (one row at least)."""
     for batch in batches:
@@ -80,3 +88,5 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             held += int(size)
         if batch.num_rows > start:
             yield batch.slice(start)
+        del batch
+    trim()
