@@ -68,6 +68,12 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def least_hashes(n: int, count: int) -> int:
+    """A bound that about ``4 * n`` of ``count`` signed 64-bit hashes lie below: which n are least needs only these."""
+    share = min((4 * n + 64) / max(count, 1), 1.0)
+    return min(int(share * 2**64), 2**64 - 1) - 2**63
+
+
 def trim() -> None:
     """Give memory that a worker has freed back to the system: workers outlive tasks and share an executor's memory."""
     pa.default_memory_pool().release_unused()

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rillrank.llm.common import slices
+from rillrank.llm.common import least_hashes, slices
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Words of a block of the blocked forward-backward pass.
@@ -305,7 +305,7 @@ def cut_at(sizes: list[int], budget: int) -> int:
 def train(
     docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, rows: int, max_bytes: int, bits: int
 ) -> LanguageField:
-    """Fit on a sample of every language, chosen by the hash of ids: equal shares of ``rows`` and ``max_bytes``.
+    """Fit on a sample of every language, chosen by the hash of ids and texts: equal shares of ``rows`` and ``max_bytes``.
 
     A language has at least one document in the sample.  Where its documents exceed its bytes, the longest ones are
     cut at the largest common length that fits, so no document shuts out another.  Rows are sampled, not ids: rows of one
@@ -315,10 +315,15 @@ def train(
     labelled = labelled.where("text is not null and lang is not null and id is not null")
     # A row is known by its id, language and text; rows that repeat all three count once.
     labelled = labelled.withColumn("size", F.octet_length("text")).withColumn("key", F.xxhash64("id", "text"))
-    languages = labelled.select("lang").distinct().count()
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).collect()}
     # One language alone has nothing to be told from; from two on, a share of 2,000 is within Spark's limit per window.
-    share = max(rows // max(languages, 2), 1)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "key", "size")
+    share = max(rows // max(len(counts), 2), 1)
+    # Only keys that may be among a language's first are dealt, however many tasks read the table; a row per language.
+    bounds = docs.sparkSession.createDataFrame(
+        [(lang, least_hashes(share, n)) for lang, n in counts.items()], "lang string, bound long"
+    )
+    labelled = labelled.join(F.broadcast(bounds), "lang").where("key <= bound").drop("bound")
+    order = Window.partitionBy("lang").orderBy("key", "id", "size")
     sizes: dict[str, set] = {}
     for r in (
         labelled.select("id", "lang", "key", "size").withColumn("at", F.row_number().over(order)).where(F.col("at") <= share).collect()

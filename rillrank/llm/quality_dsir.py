@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillrank.llm.common import slices, written
+from rillrank.llm.common import least_hashes, slices, written
 
 #: Runs of letters, of digits, and of other marks: "word!!" gives two tokens.
 _TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+")
@@ -58,9 +58,13 @@ def _sample(labels: DataFrame, id_col: str, label_col: str, per_class: int) -> t
     """
     rated = labels.where(labels[id_col].isNotNull() & labels[label_col].isNotNull())
     rated = rated.groupBy(rated[id_col].cast("long").alias("id")).agg(F.min(rated[label_col].cast("int")).alias("label"))
+    rated = rated.withColumn("hash", F.xxhash64("id"))
 
     def ids(kind: F.Column) -> np.ndarray:
-        rows = rated.where(kind).orderBy(F.xxhash64("id"), "id").limit(per_class).collect()
+        own = rated.where(kind)
+        # Only ids that may be among the first reach the driver, however many tasks read the table.
+        bound = least_hashes(per_class, own.count())
+        rows = own.where(F.col("hash") <= bound).orderBy("hash", "id").limit(per_class).collect()
         return np.sort(np.array([r["id"] for r in rows], dtype=np.int64))
 
     held_out = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(4)) == 0

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillrank.llm.common import slices, written
+from rillrank.llm.common import least_hashes, slices, written
 
 #: Bytes that aren't part of a word become spaces.
 _WORDS = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -136,20 +136,22 @@ def fit(
 
 
 def sampled_rows(
-    docs: DataFrame, rated: DataFrame, *, id_col: str, text_col: str, per_class: int, bits: int
+    docs: DataFrame, rated: DataFrame, sizes: tuple[int, int], *, id_col: str, text_col: str, per_class: int, bits: int
 ) -> DataFrame:
     """``id, label, terms``: term sets of at most ``per_class`` rows a class, the first by hash; equal rows count once.
 
-    First ids are chosen, then rows of these ids, so that an id that many rows carry doesn't add to the sample.
+    ``sizes`` are the numbers of rated ids of both classes.  First ids are chosen, then rows of these ids, so that an id that many rows carry doesn't add to the sample.
     """
 
     def first(rows: DataFrame, *order: str | F.Column) -> DataFrame:
-        # Each task sends its own first rows only, so that a class isn't gathered in one task.
         parts = [rows.where(kind).orderBy(*order).limit(per_class) for kind in ("label > 0", "label <= 0")]
         return parts[0].union(parts[1])
 
     # At most 2 * per_class ids: bounded whatever the tables' size.
-    chosen = first(rated, F.xxhash64("id"), "id")
+    hashed = rated.withColumn("hash", F.xxhash64("id"))
+    # Only ids that may be among the first of their class are sorted, however many tasks read the table.
+    bound = F.when(F.col("label") > 0, least_hashes(per_class, sizes[1])).otherwise(least_hashes(per_class, sizes[0]))
+    chosen = first(hashed.where(F.col("hash") <= bound), "hash", "id").drop("hash")
     sample = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(chosen), "id")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +186,7 @@ def train(
     rated = rated.groupBy(rated[id_col].alias("id")).agg(F.max(rated[label_col].cast("int")).alias("label"))
     total, positive = rated.agg(F.count(F.lit(1)), F.count(F.when(F.col("label") > 0, 1))).first()
     share = positive / max(total, 1)
-    rows = written(sampled_rows(docs, rated, id_col=id_col, text_col=text_col, per_class=per_class, bits=bits), "sample")
+    rows = written(sampled_rows(docs, rated, (total - positive, positive), id_col=id_col, text_col=text_col, per_class=per_class, bits=bits), "sample")
     n, positives = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("label") > 0, 1))).first()
     if not positives or positives == n:
         return bias_only(bits, rank, share)
