@@ -50,7 +50,7 @@ def leaks(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]
     for name, text in items:
         words = ALNUM.findall(lower_ascii(text or ""))
         for i in range(max(len(words) - width, 0) + 1 if words else 0):
-            windows.setdefault(tuple(words[i : i + width]), set()).add(name)
+            windows.setdefault(tuple(words[i : i + width]), set()).add(None if name is None else str(name))
     lengths = {len(w) for w in windows}
     out = {}
     for key, text in docs:
