@@ -107,7 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op4_minhash": OP4_SQL, "op10_decontamination": OP10_SQL}
 
 
 OP1_SQL = r"""
@@ -122,3 +122,60 @@ WITH d AS (
 )
 SELECT doc_id, keep_id, group_size, keep_id = doc_id AS kept, sha256(norm) AS text_sha256 FROM g
 """
+
+# All pairs that share a shingle, confirmed on whole sets; components by reachability.
+OP4_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), shingled AS (
+  SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 5, 0) + 2), lambda i: md5(array_to_string(w[i : i + 4], ' '))))) AS shingles
+  FROM d WHERE len(w) > 0
+), classes AS (
+  SELECT min(doc_id) AS head, shingles, len(shingles) AS n FROM shingled GROUP BY shingles
+), posted AS (
+  SELECT head, n, unnest(shingles) AS shingle FROM classes
+), links AS (
+  SELECT a.head AS x, b.head AS y FROM posted a JOIN posted b USING (shingle) WHERE a.head <> b.head
+  GROUP BY a.head, b.head, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT head AS x, head AS y FROM classes
+  UNION
+  SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+), component AS (
+  SELECT x, min(y) AS component_id FROM reach GROUP BY x
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(component_id, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN shingled USING (doc_id) LEFT JOIN classes USING (shingles) LEFT JOIN component ON head = x
+"""
+
+# Every window of every document against the benchmark's, by equality.
+OP10_SQL = r"""
+WITH b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, k, win FROM (
+    SELECT item_id, least(len(w), 8) AS k,
+           unnest(list_transform(range(1, greatest(len(w) - 8, 0) + 2), lambda i: array_to_string(w[i : i + 7], ' '))) AS win
+    FROM b WHERE len(w) > 0)
+), d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), dw AS (
+  SELECT r, k, generate_subscripts(wins, 1) AS s, unnest(wins) AS win FROM (
+    SELECT r, k, list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' ')) AS wins
+    FROM d CROSS JOIN (SELECT DISTINCT k FROM bw) WHERE len(w) >= k)
+), hit AS (
+  SELECT r, s, k, item_id FROM dw JOIN bw USING (k, win)
+), spots AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + k)) AS p FROM hit) GROUP BY r
+), items AS (
+  SELECT r, count(*) AS n_items, coalesce(string_agg(item_id, ',' ORDER BY item_id), '') AS ids FROM (SELECT DISTINCT r, item_id FROM hit) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN spots USING (r) LEFT JOIN items USING (r)
+"""
