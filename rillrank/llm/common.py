@@ -56,6 +56,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """``df`` as the side of a join that is sorted and merged, so that neither side is broadcast through the driver.
+
+    Spark takes a written table for as large as its compressed files and an array for one element, also where it is
+    exploded: hundreds of MB can pass as less than ``spark.sql.autoBroadcastJoinThreshold``.
+    """
+    return df.hint("merge")
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """While an action runs inside, Arrow batches to Python hold at most so many rows (long texts, little memory)."""

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillrank.llm.common import written
+from rillrank.llm.common import merged, written
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -20,7 +20,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     least = around.groupBy("a").agg(F.min("b").alias("m")).select(
         F.col("a").alias("node"), F.least("a", "m").alias("m")
     )
-    joined = around.join(least, around.a == least.node)
+    joined = around.join(merged(least), around.a == least.node)
     if large:
         moved = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillrank.llm.common import slices, written
+from rillrank.llm.common import merged, slices, written
 from rillrank.llm.components import components
 from rillrank.llm.shingles import shingle_sets, signatures
 
@@ -98,8 +98,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return (
-        pairs.join(left, "a")
-        .join(right, "b")
+        pairs.join(merged(left), "a")
+        .join(merged(right), "b")
         .where(100 * both >= percent * (F.size("sa") + F.size("sb") - both))
         .select("a", "b")
     )
@@ -241,7 +241,7 @@ def near_duplicates(
     # Postings in order of rarity; values of one class only are skipped.
     posts = classes.select("class", F.posexplode("signature").alias("c", "v"))
     shared = posts.groupBy("c", "v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    rarity = posts.join(shared, ["c", "v"]).groupBy("class").agg(
+    rarity = posts.join(merged(shared), ["c", "v"]).groupBy("class").agg(
         F.sort_array(F.collect_list(F.struct("df", "c", "v"))).alias("common")
     )
     # A class's prefix starts with its values of frequency one, which needn't be posted.
@@ -258,7 +258,7 @@ def near_duplicates(
         F.count(F.lit(1)).alias("length"), F.max_by("class", F.struct("central", "class")).alias("hub")
     ).where("length > 1")
     lists = written(lists, "lists")
-    sized = posted.join(lists, ["c", "v"])
+    sized = posted.join(merged(lists), ["c", "v"])
     carried = classes.select("class", "n", "signature")
 
     def met(pairs: DataFrame) -> DataFrame:
@@ -267,11 +267,11 @@ def near_duplicates(
         a = carried.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa"))
         agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
         fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-        return pairs.join(a, "a").join(b, "b").where(fits & (agree >= matches)).select("a", "b")
+        return pairs.join(merged(a), "a").join(merged(b), "b").where(fits & (agree >= matches)).select("a", "b")
 
     short = sized.where(F.col("length") <= small).select("c", "v", "class")
     apart = short.select("c", "v", F.col("class").alias("a")).join(
-        short.select("c", "v", F.col("class").alias("b")), ["c", "v"]
+        merged(short.select("c", "v", F.col("class").alias("b"))), ["c", "v"]
     ).where("a < b")
     hubs = sized.where((F.col("length") > small) & (F.col("class") != F.col("hub"))).select(
         F.least("class", "hub").alias("a"), F.greatest("class", "hub").alias("b")
@@ -283,7 +283,7 @@ def near_duplicates(
         long_lists.select("class")
     )
     heads = classes.join(wanted.distinct(), "class", "left_semi").select("class", "fingerprint", F.col("head").alias("id"))
-    sets = _sets(docs, heads, id_col, text_col, width).join(heads, ["id", "fingerprint"]).select("class", "shingles")
+    sets = _sets(docs, heads, id_col, text_col, width).join(merged(heads), ["id", "fingerprint"]).select("class", "shingles")
     sets = written(sets.dropDuplicates(["class"]), "sets")
     links = written(_confirmed(pairs, sets, percent), "confirmed")
     if not long_lists.isEmpty():
@@ -291,18 +291,18 @@ def near_duplicates(
 
     # Links between classes become links between ids; an id that stands in several classes links their heads.
     heads_only = classes.select("class", "head")
-    linked = links.join(heads_only.select(F.col("class").alias("a"), F.col("head").alias("x")), "a").join(
-        heads_only.select(F.col("class").alias("b"), F.col("head").alias("y")), "b"
+    linked = links.join(merged(heads_only.select(F.col("class").alias("a"), F.col("head").alias("x"))), "a").join(
+        merged(heads_only.select(F.col("class").alias("b"), F.col("head").alias("y"))), "b"
     ).select(F.col("x").alias("a"), F.col("y").alias("b"))
     several = worded.groupBy("id").agg(F.min("fingerprint").alias("least"), F.max("fingerprint").alias("most")).where("least < most")
     of_several = worded.select("id", "fingerprint").join(several.select("id"), "id").distinct().join(
-        classes.select("fingerprint", "head"), "fingerprint"
+        merged(classes.select("fingerprint", "head")), "fingerprint"
     )
     least = of_several.groupBy("id").agg(F.min("head").alias("least"))
     repeats = of_several.join(least, "id").where("head > least").select(F.col("head").alias("a"), F.col("least").alias("b"))
     found = components(linked.union(repeats))
     component_of = written(
-        classes.select("fingerprint", "head", "rows").join(found, F.col("head") == F.col("node"), "left").select(
+        classes.select("fingerprint", "head", "rows").join(merged(found), F.col("head") == F.col("node"), "left").select(
             "fingerprint", "rows", F.coalesce("component", "head").alias("component")
         ),
         "components",
@@ -318,7 +318,7 @@ def near_duplicates(
     # Rows that are done, or have no class, get a key that no class has and that spreads them.
     open_ = F.col("hot_component").isNull() & F.col("own").isNotNull()
     rows = rows.withColumn("key", F.when(open_, F.col("own")).otherwise(F.unhex(F.hex(F.xxhash64("id")))))
-    joined = rows.join(component_of, rows.key == component_of.fingerprint, "left")
+    joined = rows.join(merged(component_of), rows.key == component_of.fingerprint, "left")
     component = F.coalesce("hot_component", "component", "id")
     return joined.select(
         F.col("id").alias(id_col),
@@ -335,21 +335,21 @@ def _long_links(
     """``a, b``: links among the members of long lists that join the components that ``links`` leave apart."""
     found = components(links).withColumnRenamed("node", "class")
     listed = written(
-        lists.join(found, "class", "left").select("c", "v", "class", F.coalesce("component", "class").alias("component")), "listed"
+        lists.join(merged(found), "class", "left").select("c", "v", "class", F.coalesce("component", "class").alias("component")), "listed"
     )
     # Lists of one component need no more links; a class outside the largest component of a list is loose.
     main = _main(listed, "c", "v")
-    lined = listed.join(main.select("c", "v", "main"), ["c", "v"])
+    lined = listed.join(merged(main.select("c", "v", "main")), ["c", "v"])
     members = lined.groupBy("class", "component").agg(F.max(F.col("component") != F.col("main")).alias("loose"))
-    members = members.join(carried.select("class", "n"), "class")
-    posted = written(_rare_shingles(sets.join(members, "class"), percent), "rare")
+    members = members.join(merged(carried.select("class", "n")), "class")
+    posted = written(_rare_shingles(sets.join(merged(members), "class"), percent), "rare")
     told = posted.groupBy("shingle").agg(
         F.count(F.lit(1)).alias("length"), F.max("loose").alias("any_loose"), F.min("component").alias("least"), F.max("component").alias("most")
     ).where("length > 1 and any_loose and least < most").select("shingle", "length")
-    sized = posted.join(told, "shingle")
+    sized = posted.join(merged(told), "shingle")
     side = sized.where(F.col("length") <= small)
     pairs = side.select("shingle", *(F.col(x).alias(f"{x}_a") for x in ("class", "component", "loose"))).join(
-        side.select("shingle", *(F.col(x).alias(f"{x}_b") for x in ("class", "component", "loose"))), "shingle"
+        merged(side.select("shingle", *(F.col(x).alias(f"{x}_b") for x in ("class", "component", "loose")))), "shingle"
     ).where("class_a < class_b and component_a != component_b and (loose_a or loose_b)")
     links = _confirmed(met(pairs.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()), sets, percent)
 
@@ -367,7 +367,7 @@ def _long_links(
         "shingle", "class", "component", F.lit(1).alias("side"),
         F.explode(F.sequence(F.lit(0), F.col("loose_blocks") - 1)).alias("i"), F.pmod(salted, "all_blocks").cast("int").alias("j"),
     )
-    dealt = loose.union(every).join(sets.join(carried.select("class", "signature"), "class"), "class")
+    dealt = loose.union(every).join(merged(sets.join(merged(carried.select("class", "signature")), "class")), "class")
     more = dealt.groupBy("shingle", "i", "j").applyInPandas(_block_links(percent, matches), "a long, b long")
     return links.union(more)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rillrank.llm import components, decontam_fm, exact_dedup, minhash, pii, quality_dsir, queries, sentencepiece_viterbi, token_count, token_files, toxicity
 from rillrank.llm import langid_crf
-from tests.llm import brute
+from tests.llm import broadcasts, brute
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, id long, size long"
@@ -73,6 +73,14 @@ def test_near(docs, small):
     assert got == brute.near(texts())
 
 
+def test_near_broadcasts_no_table(spark, docs):
+    """At Spark's own threshold: postings that look small (an array counts as one element) once filled the driver."""
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) == 10 << 20
+    for small in (32, 3):
+        found = broadcasts.columns(spark, lambda: minhash.near_duplicates(docs, small=small, block=16).collect())  # noqa: B023
+        assert "hot_fingerprint" in found and found <= broadcasts.SMALL
+
+
 def test_near_edges(spark, none):
     assert minhash.near_duplicates(none).count() == 0
     text = "a b c d e f g"

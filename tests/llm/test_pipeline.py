@@ -5,7 +5,7 @@ import pytest
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
-from tests.llm import brute  # noqa: E402
+from tests.llm import broadcasts, brute  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,6 +49,13 @@ def test_stages(spark, tmp_path):
     assert pieces == {i: plain.encode(t or "") for i, t in rows(before)}
 
 
+def test_near_stage_broadcasts_no_table(spark):
+    """Only keys of dropped rows besides what the operator may broadcast, at Spark's own threshold."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = broadcasts.columns(spark, lambda: pipeline.near_stage(spark, docs, SF).collect())
+    assert "hot_fingerprint" in found and found <= broadcasts.SMALL | {"row_key"}
+
+
 def test_awkward_rows(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     docs = spark.createDataFrame(
