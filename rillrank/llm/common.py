@@ -6,7 +6,7 @@ import atexit
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 
 import pyarrow as pa
@@ -90,8 +90,33 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches into slices of at most ``limit`` bytes of ``column`` (one row at least)."""
+_kept: dict[str, object] = {}
+
+
+def release() -> None:
+    """Drop what ``kept`` holds in this worker."""
+    if _kept:
+        _kept.clear()
+        trim()
+
+
+def kept[T](key: str, make: Callable[[], T]) -> T:
+    """This worker's object for ``key``, kept with its caches from task to task until any other operator's task comes."""
+    if key not in _kept:
+        release()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def slices(
+    batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, keep: bool = False
+) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches into slices of at most ``limit`` bytes of ``column`` (one row at least).
+
+    Workers outlive the stages of a pipeline: unless ``keep``, caches of operators that ran before go first.
+    """
+    if not keep:
+        release()
     for batch in batches:
         index = batch.schema.get_field_index(column)
         sizes = pc.binary_length(batch.column(index)).fill_null(0).to_numpy(zero_copy_only=False)

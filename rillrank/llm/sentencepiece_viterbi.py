@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillrank.llm.common import slices
+from rillrank.llm.common import kept, slices
 
 MARK = "▁"
 #: Bytes of a worker's word cache before it is emptied, words counted with what Python needs to hold them.
@@ -229,16 +229,9 @@ class Viterbi:
         return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
 
 
-_workers: dict[int, Viterbi] = {}
-
-
 def _viterbi(serialised: bytes) -> Viterbi:
     """This worker's encoder, kept between tasks with its caches."""
-    key = zlib.crc32(serialised)
-    if key not in _workers:
-        _workers.clear()
-        _workers[key] = Viterbi(serialised)
-    return _workers[key]
+    return kept(f"Viterbi:{zlib.crc32(serialised)}", lambda: Viterbi(serialised))
 
 
 def encode_decode(
@@ -258,7 +251,7 @@ def encode_decode(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         viterbi = _viterbi(serialised.value)
-        for batch in slices(batches, "text", SLICE_BYTES):
+        for batch in slices(batches, "text", SLICE_BYTES, keep=True):
             texts = batch.column("text").to_pylist()
             flat, counts = viterbi.encode(texts)
             offsets = np.concatenate([[0], np.cumsum(counts)])

@@ -26,7 +26,7 @@ def token_counts(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = instance(ByteBpeCounter, serialised.value)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", keep=True):
             texts = batch.column("text")
             n_bytes = pc.binary_length(texts).fill_null(0).cast(pa.int64())
             n_tokens = counter.counts(texts.to_pylist())

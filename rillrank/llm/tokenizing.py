@@ -22,6 +22,8 @@ from itertools import chain
 import numpy as np
 from tokenizers import Tokenizer
 
+from rillrank.llm.common import kept
+
 #: Bytes of a worker's piece cache before it is emptied, pieces counted with what Python needs to hold them.
 CACHE_BYTES = 60 << 20
 #: Bytes that a piece of the cache takes beside its characters, about.
@@ -182,16 +184,9 @@ class WordBpeEncoder:
         return ids, np.diff(total[ends], prepend=0)
 
 
-_instances: dict[str, ByteBpeCounter | WordBpeEncoder] = {}
-
-
 def instance(kind: type, serialised: str) -> ByteBpeCounter | WordBpeEncoder:
-    """This worker's counter or encoder, kept between tasks with its cache; another tokenizer replaces it.
+    """This worker's counter or encoder, kept between tasks with its cache; any other operator replaces it.
 
     Tasks must call this function instead of holding the cache in a closure, which would be unpickled anew each time.
     """
-    key = f"{kind.__name__}:{zlib.crc32(serialised.encode())}"
-    if key not in _instances:
-        _instances.clear()
-        _instances[key] = kind(serialised)
-    return _instances[key]
+    return kept(f"{kind.__name__}:{zlib.crc32(serialised.encode())}", lambda: kind(serialised))

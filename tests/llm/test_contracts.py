@@ -138,6 +138,30 @@ def test_counts(docs, none):
     assert token_count.token_counts(none, path).count() == 0
 
 
+def test_workers_drop_caches_of_operators_that_ran_before():
+    import pyarrow as pa
+
+    from rillrank.llm import common, tokenizing
+
+    def run(keep: bool) -> None:
+        batch = pa.RecordBatch.from_pydict({"text": ["some words", None]})
+        assert sum(b.num_rows for b in common.slices(iter([batch]), "text", **({"keep": True} if keep else {}))) == 2
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        model = file.read()
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        serialised = file.read()
+    viterbi = sentencepiece_viterbi._viterbi(model)
+    run(keep=True)
+    assert sentencepiece_viterbi._viterbi(model) is viterbi
+    run(keep=False)
+    assert sentencepiece_viterbi._viterbi(model) is not viterbi
+    viterbi = sentencepiece_viterbi._viterbi(model)
+    encoder = tokenizing.instance(tokenizing.WordBpeEncoder, serialised)
+    assert sentencepiece_viterbi._viterbi(model) is not viterbi
+    assert tokenizing.instance(tokenizing.WordBpeEncoder, serialised) is not encoder
+
+
 def test_sentencepiece(docs, none):
     import sentencepiece
 
