@@ -157,8 +157,8 @@ def write_token_files(
             row = [part, segment, len(ids), len(tokens), encode_segment(ids, np.concatenate(lengths), tokens)]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
 
-        for batch in slices(batches, "text", 1 << 20, keep=True):
-            found, counts = encoder.encode(batch.column("text").to_pylist())
+        for batch in slices(batches, "text", keep=True):
+            found, counts = encoder.encode(batch.column("text"))
             ends = np.cumsum(counts)
             values.append(np.insert(found, ends, end_id))
             lengths.append(counts + 1)

@@ -5,24 +5,26 @@ tokens gives what the library gives for the whole text (special strings inside t
 
 * byte-level BPE: before a single space, and around a single line feed, that stands between two other non-space
   characters;
-* word BPE that drops white space: at every run of white space.
+* word BPE that drops white space: at every run of ASCII white space.
 
-Pieces are kept in a cache of the Python worker that is emptied once it holds more than a fixed number of bytes, so it
-takes at most these and one slice's pieces.  A piece made of Latin letters and trailing punctuation goes
-straight to the library's BPE model (its pre-tokenizer would give just these two parts); every other piece goes
-through the library's whole ``encode_batch``.
+Pieces are kept in a cache of the Python worker that is emptied, or thinned to the most used words, once it holds more
+than a fixed number of bytes, so it takes at most these and one slice's pieces.  A piece made of Latin letters and
+trailing punctuation goes straight to the library's BPE model (its pre-tokenizer would give just these two parts);
+every other piece goes through the library's whole ``encode_batch``.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from rillrank.llm.common import kept
+from rillrank.llm.words import WordIds, distinct, strings
 
 #: Bytes of a worker's piece cache before it is emptied, pieces counted with what Python needs to hold them.
 CACHE_BYTES = 60 << 20
@@ -142,46 +144,15 @@ class WordBpeEncoder:
 
     #: Its words are cached once, without a second cache of parts, so there is room for more of them.
     CACHE_BYTES = 120 << 20
-    _NOT_SPACE_THERE = ("\x1c", "\x1d", "\x1e", "\x1f")  # str.split cuts here, the tokenizer doesn't
 
     def __init__(self, serialised: str):
         self.pieces = _Pieces(serialised, lower=True, keep_words=False)
-        self._empty()
+        self.words = WordIds(self.CACHE_BYTES, ENTRY_BYTES, 1)
 
-    def _empty(self) -> None:
-        self.known: dict[str, int] = {}
-        self.held = 0
-        self.starts = np.zeros(1, dtype=np.int64)
-        self.store = np.zeros(0, dtype=np.uint32)
-
-    def _learn(self, pieces: set[str]) -> None:
-        if self.held > self.CACHE_BYTES:
-            self._empty()
-        new = [p for p in pieces if p not in self.known]
-        found = self.pieces.ids(new)
-        self.held += sum(map(len, new)) + 4 * sum(map(len, found)) + ENTRY_BYTES * len(new)
-        at = len(self.known)
-        self.known.update(zip(new, range(at, at + len(new)), strict=True))
-        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        ids = np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=int(lengths.sum()))
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
-        self.store = np.concatenate([self.store, ids])
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in order, and the number of ids of each text; null counts as empty."""
-        words: list[str] = []
-        ends = np.zeros(len(texts), dtype=np.int64)
-        for i, text in enumerate(texts):
-            if text:
-                words += [text] if any(c in text for c in self._NOT_SPACE_THERE) else text.split()
-            ends[i] = len(words)
-        self._learn(set(words))
-        index = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
-        first = self.starts[index]
-        lengths = self.starts[index + 1] - first
-        total = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(lengths)])
-        ids = self.store[np.repeat(first - total[:-1], lengths) + np.arange(total[-1])]
-        return ids, np.diff(total[ends], prepend=0)
+        # Cut at ASCII white space only: other white space stays inside a word, which the whole pipeline encodes.
+        return self.words.ids(*distinct(pc.ascii_split_whitespace(strings(texts))), self.pieces.ids)
 
 
 def instance(kind: type, serialised: str) -> ByteBpeCounter | WordBpeEncoder:

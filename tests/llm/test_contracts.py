@@ -113,6 +113,41 @@ def test_token_files(docs, none, spark, tmp_path):
     assert full.token_ids == [*Tokenizer.from_file(path).encode("one two", add_special_tokens=False).ids, 1]
 
 
+def test_word_ids_keep_the_most_used():
+    from rillrank.llm import words
+
+    ids, learned = words.WordIds(4000, 100, 1), []
+
+    def learn(new: list[str]) -> list[list[int]]:
+        learned.extend(new)
+        return [[len(w), *w.encode()] for w in new]
+
+    for i in range(40):
+        texts = [f"common x{i} common", None, "", f" y{i}\t\n z{i} "]
+        flat, counts = ids.ids(*words.distinct(words.pc.ascii_split_whitespace(words.strings(texts))), learn)
+        want = [[n for w in (t or "").split() for n in (len(w), *w.encode())] for t in texts]
+        assert flat.tolist() == sum(want, []) and counts.tolist() == list(map(len, want))
+    assert learned.count("common") == 1 and len(learned) == 121 and ids.held < 4000 + 4 * 150
+
+
+def test_word_bpe_on_odd_white_space(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from rillrank.llm import tokenizing
+
+    monkeypatch.setattr(tokenizing.WordBpeEncoder, "CACHE_BYTES", 20_000)
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        encoder, plain = tokenizing.WordBpeEncoder(text := file.read()), Tokenizer.from_str(text)
+    r = random.Random(1)
+    parts = ["a", "B", "é", "e\u0301", " ", "  ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "\u3000",
+             "\u0308", "日本", "'s", "<|endoftext|>", "1", "!", "\x00"]
+    for _ in range(20):
+        some = ["".join(r.choice(parts) for _ in range(r.randrange(30))) for _ in range(100)]
+        flat, counts = encoder.encode([*some, None])
+        want = [plain.encode(t, add_special_tokens=False).ids for t in some]
+        assert flat.tolist() == sum(want, []) and counts.tolist() == [*map(len, want), 0]
+
+
 def test_packing():
     import numpy as np
 
