@@ -22,13 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillrank.llm.common import kept, slices
+from rillrank.llm.words import WordIds, distinct, strings
 
 MARK = "▁"
-#: Bytes of a worker's word cache before it is emptied, words counted with what Python needs to hold them.
+#: Bytes of a worker's word cache before it is thinned to the most used words, words counted with what Python needs to hold them.
 CACHE_BYTES = 50 << 20
 #: Bytes that a word takes beside its characters (two bytes each, for the mark) and ids, about.
 ENTRY_BYTES = 180
@@ -94,7 +96,9 @@ class Model:
         self.unknown = self.kinds.index(_UNKNOWN)
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == _BYTE}
         self.characters = {c for p in self.ids for c in p}
-        self.longest = max(map(len, self.ids), default=1)
+        self.longest: dict[str, int] = {}  # by last character
+        for p in self.ids:
+            self.longest[p[-1]] = max(self.longest.get(p[-1], 0), len(p))
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece holds a mark after another character")
 
@@ -104,19 +108,13 @@ class Viterbi:
 
     def __init__(self, serialised: bytes):
         self.model = Model(serialised)
-        self.cache: dict[str, int] = {}
+        self.words = WordIds(CACHE_BYTES, ENTRY_BYTES, 2)
         self.neighbours: dict[int, bool] = {}
-        self._empty()
         foreign = "" if "\n" in self.model.characters else "\n"
+        self.foreign = foreign
         self._word = re.compile(f"{MARK}*[^{MARK}{foreign}]+|{MARK}+" + (f"|{foreign}" if foreign else ""))
         self._texts = [self._text_of(i) for i in range(len(self.model.pieces))]
 
-    def _empty(self) -> None:
-        self.cache = {}
-        self.held = 0
-        self.starts = np.zeros(1, dtype=np.int64)
-        self.store = np.zeros(0, dtype=np.int32)
-
     def _text_of(self, piece: int) -> bytes:
         kind, text = self.model.kinds[piece], self.model.pieces[piece]
         if kind == _BYTE:
@@ -149,79 +147,86 @@ class Viterbi:
         return [self.model.bytes[b] for b in character.encode("utf-8", "surrogatepass")]
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of sorted distinct words, depth first over their trie."""
-        get, longest, characters = self.model.ids.get, self.model.longest, self.model.characters
-        fits, bpe, scores = self.neighbours, self.model.kind == _BPE, self.model.scores
-        low = min(scores, default=0.0) - 10.0
+        """Ids of distinct words, depth first over the trie that they make when sorted."""
+        walk = self._merge_states if self.model.kind == _BPE else self._best_states
         # State of the prefix of i characters: last piece (-1: none or foreign), where that piece starts, best score.
         last, start, best = [-1], [0], [0.0]
-        before, out = "", []
-        for word in words:
+        before, found = "", {}
+        for word in sorted(words):
             shared, limit = 0, min(len(word), len(before))
             while shared < limit and word[shared] == before[shared]:
                 shared += 1
             del last[shared + 1 :], start[shared + 1 :], best[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                piece_last, piece_start, score = -1, end - 1, best[end - 1] + low
-                if word[end - 1] in characters:
-                    # The last piece is mostly short: the nearest begin comes first.
-                    for begin in range(end - 1, max(end - longest, 0) - 1, -1):
-                        piece = get(word[begin:end])
-                        if piece is None:
-                            continue
-                        if bpe:
-                            pair = last[begin] << 32 | piece
-                            fit = fits.get(pair)
-                            if fit is None:
-                                fit = fits[pair] = self._fit(last[begin], piece)
-                            if fit:
-                                piece_last, piece_start = piece, begin
-                                break
-                        elif best[begin] + scores[piece] > score:
-                            piece_last, piece_start, score = piece, begin, best[begin] + scores[piece]
-                last.append(piece_last)
-                start.append(piece_start)
-                best.append(score)
+            walk(word, shared, last, start, best)
             path, end = [], len(word)
             while end:
                 piece, begin = last[end], start[end]
-                path += [piece] if piece >= 0 else reversed(self._fallback(word[begin:end]))
+                if piece >= 0:
+                    path.append(piece)
+                else:
+                    path += reversed(self._fallback(word[begin:end]))
                 end = begin
             path.reverse()
-            out.append(path)
+            found[word] = path
             before = word
-        if len(fits) > NEIGHBOUR_ENTRIES:
-            fits.clear()
-        return out
-
-    def _learn(self, words: set[str]) -> None:
-        if self.held > CACHE_BYTES:
-            self._empty()
-        new = sorted(w for w in words if w not in self.cache)
-        found = self.encode_words(new)
-        self.cache.update(zip(new, range(len(self.cache), len(self.cache) + len(new)), strict=True))
-        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        flat = np.fromiter((i for ids in found for i in ids), dtype=np.int32, count=int(lengths.sum()))
-        self.held += 2 * sum(map(len, new)) + 4 * len(flat) + ENTRY_BYTES * len(new)
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
-        self.store = np.concatenate([self.store, flat])
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts in order, and the number of ids of each text; null counts as empty."""
-        words: list[str] = []
-        ends = np.zeros(len(texts), dtype=np.int64)
+        if len(self.neighbours) > NEIGHBOUR_ENTRIES:
+            self.neighbours.clear()
+        return [found[word] for word in words]
+
+    def _merge_states(self, word: str, shared: int, last: list[int], start: list[int], best: list[float]) -> None:
+        """BPE: the states of a word's prefixes longer than ``shared``."""
+        get, reach, fits = self.model.ids.get, self.model.longest.get, self.neighbours
+        known = fits.get
+        for end in range(shared + 1, len(word) + 1):
+            piece_last, piece_start = -1, end - 1
+            # The last piece is mostly short: the nearest begin comes first.
+            for begin in range(end - 1, max(end - reach(word[end - 1], 0), 0) - 1, -1):
+                piece = get(word[begin:end])
+                if piece is None:
+                    continue
+                pair = last[begin] << 32 | piece
+                fit = known(pair)
+                if fit is None:
+                    fit = fits[pair] = self._fit(last[begin], piece)
+                if fit:
+                    piece_last, piece_start = piece, begin
+                    break
+            last.append(piece_last)
+            start.append(piece_start)
+
+    def _best_states(self, word: str, shared: int, last: list[int], start: list[int], best: list[float]) -> None:
+        """Unigram: the states of a word's prefixes longer than ``shared``."""
+        get, reach, scores = self.model.ids.get, self.model.longest.get, self.model.scores
+        low = min(scores, default=0.0) - 10.0
+        for end in range(shared + 1, len(word) + 1):
+            piece_last, piece_start, score = -1, end - 1, best[end - 1] + low
+            for begin in range(end - 1, max(end - reach(word[end - 1], 0), 0) - 1, -1):
+                piece = get(word[begin:end])
+                if piece is not None and best[begin] + scores[piece] > score:
+                    piece_last, piece_start, score = piece, begin, best[begin] + scores[piece]
+            last.append(piece_last)
+            start.append(piece_start)
+            best.append(score)
+
+    def _cut(self, texts: pa.Array) -> pa.Array:
+        """The words of every text, which concatenated are the text with marks for spaces."""
         prefix = MARK if self.model.dummy_prefix else ""
-        for i, text in enumerate(texts):
-            if text:
-                words += self._word.findall(prefix + text.replace(" ", MARK))
-            ends[i] = len(words)
-        self._learn(set(words))
-        index = np.fromiter(map(self.cache.__getitem__, words), dtype=np.int64, count=len(words))
-        first = self.starts[index]
-        lengths = self.starts[index + 1] - first
-        total = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(lengths)])
-        ids = self.store[np.repeat(first - total[:-1], lengths) + np.arange(total[-1])]
-        return ids, np.diff(total[ends], prepend=0)
+        # Single spaces and lines are cut in Arrow: once all spaces are marks, a space can stand for a cut.
+        odd = pc.or_(pc.match_substring_regex(texts, f"  |^ |{MARK}"), pc.equal(pc.binary_length(texts), 0))
+        marked = pc.replace_substring(texts, " ", f" {MARK}")
+        if self.foreign:
+            marked = pc.replace_substring(marked, self.foreign, f" {self.foreign} ")
+        marked = pc.binary_join_element_wise(pa.scalar(prefix, texts.type), marked, pa.scalar("", texts.type))
+        if pc.any(odd).as_py():
+            rows = np.flatnonzero(odd.fill_null(False).to_numpy(zero_copy_only=False))
+            others = [t and " ".join(self._word.findall(prefix + t.replace(" ", MARK))) for t in texts.take(pa.array(rows)).to_pylist()]
+            marked = pc.replace_with_mask(marked, odd.fill_null(False), pa.array(others, texts.type))
+        return pc.split_pattern(marked, " ")
+
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in order, and the number of ids of each text; null counts as empty."""
+        flat, counts = self.words.ids(*distinct(self._cut(strings(texts))), self.encode_words)
+        return flat.view(np.int32), counts
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes that aren't valid UTF-8 become U+FFFD, control pieces vanish, marks become spaces."""
@@ -253,7 +258,7 @@ def encode_decode(
         viterbi = _viterbi(serialised.value)
         for batch in slices(batches, "text", SLICE_BYTES, keep=True):
             texts = batch.column("text").to_pylist()
-            flat, counts = viterbi.encode(texts)
+            flat, counts = viterbi.encode(batch.column("text"))
             offsets = np.concatenate([[0], np.cumsum(counts)])
             spans = list(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
             listed = flat.tolist()

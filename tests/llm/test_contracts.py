@@ -210,6 +210,24 @@ def test_sentencepiece(docs, none):
     assert sentencepiece_viterbi.encode_decode(none, path).count() == 0
 
 
+def test_sentencepiece_on_odd_spaces_with_few_words_kept(monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(sentencepiece_viterbi, "CACHE_BYTES", 20_000)
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        viterbi = sentencepiece_viterbi.Viterbi(model := file.read())
+    plain, r = sentencepiece.SentencePieceProcessor(model_proto=model), random.Random(2)
+    parts = ["a", "the", "Bin", "é", " ", "  ", "   ", "\t", "\n", "\n\n", "\r", "\xa0", "\u3000", "▁", "日本", "1", "!", "\x00", "😀", "<s>"]
+    learned, learn = [], viterbi.encode_words
+    monkeypatch.setattr(viterbi, "encode_words", lambda words: learned.extend(words) or learn(words))
+    for _ in range(30):
+        some = ["".join(r.choice(parts) for _ in range(r.randrange(30))) for _ in range(100)] + ["often said"] * 200
+        flat, counts = viterbi.encode([*some, None])
+        want = [plain.encode(t) for t in some]
+        assert flat.tolist() == sum(want, []) and counts.tolist() == [*map(len, want), 0]
+    assert learned.count("▁often") == 1 and len(learned) > 1000
+
+
 def test_unigram_viterbi_is_the_best_path():
     """A hand-made unigram model against all segmentations."""
     import struct
