@@ -3,6 +3,9 @@
 Each stage takes ``(spark, docs, sf_dir)`` and works on all rows its predecessor kept; all but the last return the
 columns of ``documents``.  Decisions are joined back by anti-joins on a key of each row's own, so only keys move to
 decide, and rows with a null or repeated id are dropped for their own content only.
+
+What runs in Python is written inside the stage, in small Arrow batches: whole texts in batches of Spark's 10,000 rows fill
+an executor's memory outside its heap, on both sides.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rillrank.llm.common import written
+from rillrank.llm.common import small_batches, written
 from rillrank.llm.decontam_fm import benchmark_hits, without_spans
 from rillrank.llm.exact_dedup import exact_groups
 from rillrank.llm.minhash import near_duplicates
@@ -49,7 +52,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the importance resampling rejects go."""
     keyed, _ = _keyed(docs)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumnRenamed("doc_id", "row_key")
-    return _without(keyed, quality(keyed, labels, id_col="row_key").where(~F.col("kept")))
+    with small_batches(spark):
+        judged = quality(keyed, labels, id_col="row_key")
+    return _without(keyed, judged.where(~F.col("kept")))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +67,10 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, similarity 0.8 or more) stays."""
     keyed, _ = _keyed(docs)
-    return _without(keyed, near_duplicates(keyed, percent=80, id_col="row_key").where(~F.col("kept")))
+    with small_batches(spark):
+        near = near_duplicates(keyed, percent=80, id_col="row_key")
+        dropped = written(near.where(~F.col("kept")).select("row_key"), "dropped")
+    return _without(keyed, dropped)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,19 +79,22 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     A text that consists of hits only goes as well.  ``n_chars`` follows the text.
     """
     columns = docs.columns
-    hits = benchmark_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=tuple(columns))
+    with small_batches(spark):
+        hits = benchmark_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=tuple(columns))
     clean = hits.where((F.size("items") < 2) & ((F.col("n_hit") == 0) | (F.col("n_hit") < F.col("n_words"))))
     text = without_spans(F.col("keep_text"), F.col("spans"))
     out = clean.select(*(text.alias(c) if c == "text" else F.col(f"keep_{c}").alias(c) for c in columns), "n_hit")
     if "n_chars" in columns:
         length = F.when(F.col("n_hit") > 0, F.length("text").cast(docs.schema["n_chars"].dataType))
         out = out.withColumn("n_chars", length.otherwise(F.col("n_chars")))
-    return out.select(*columns)
+    with small_batches(spark):
+        return written(out.select(*columns), "clean")
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of every text that is left, checked by decoding them."""
-    return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    with small_batches(spark):
+        return written(encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model")), "encoded")
 
 
 STAGES = [

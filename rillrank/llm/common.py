@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text handled at once inside a Python worker; a single longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
+#: Seconds without a task after which a worker drops its caches; tasks of one stage follow each other faster.
+IDLE_SECONDS = 2.0
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -91,6 +94,7 @@ def trim() -> None:
 
 
 _kept: dict[str, object] = {}
+_idle: list[threading.Timer] = []
 
 
 def release() -> None:
@@ -101,11 +105,26 @@ def release() -> None:
 
 
 def kept[T](key: str, make: Callable[[], T]) -> T:
-    """This worker's object for ``key``, kept with its caches from task to task until any other operator's task comes."""
-    if key not in _kept:
+    """This worker's object for ``key``, kept with its caches from task to task.
+
+    It goes when any other operator's task comes, or when none comes for a while: until the next stage has tasks in
+    Python, its JVM needs the memory.
+    """
+    while _idle:
+        _idle.pop().cancel()
+    found = _kept.get(key)  # a timer that fires just now takes the cache away, not this object
+    if found is None:
         release()
-        _kept[key] = make()
-    return _kept[key]
+        found = _kept[key] = make()
+    return found
+
+
+def _rest() -> None:
+    """Drop what ``kept`` holds once no task has asked for it for a while."""
+    timer = threading.Timer(IDLE_SECONDS, release)
+    timer.daemon = True
+    _idle.append(timer)
+    timer.start()
 
 
 def slices(
@@ -130,3 +149,5 @@ def slices(
             yield batch.slice(start)
         del batch
     trim()
+    if keep:
+        _rest()

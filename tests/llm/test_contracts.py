@@ -197,6 +197,26 @@ def test_workers_drop_caches_of_operators_that_ran_before():
     assert tokenizing.instance(tokenizing.WordBpeEncoder, serialised) is not encoder
 
 
+def test_idle_workers_drop_caches(monkeypatch):
+    import threading
+    import time
+
+    import pyarrow as pa
+
+    from rillrank.llm import common
+
+    monkeypatch.setattr(common, "IDLE_SECONDS", 0.2)
+    batch = pa.RecordBatch.from_pydict({"text": ["some words"]})
+    first = common.kept("x", threading.Event)
+    assert len(list(common.slices(iter([batch]), "text", keep=True))) == 1
+    assert common.kept("x", threading.Event) is first
+    time.sleep(0.6)  # a task that runs keeps its object
+    assert common.kept("x", threading.Event) is first
+    list(common.slices(iter([batch]), "text", keep=True))
+    time.sleep(0.6)
+    assert not common._kept
+
+
 def test_sentencepiece(docs, none):
     import sentencepiece
 

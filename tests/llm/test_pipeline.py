@@ -56,6 +56,30 @@ def test_near_stage_broadcasts_no_table(spark):
     assert "hot_fingerprint" in found and found <= broadcasts.SMALL | {"row_key"}
 
 
+def test_texts_reach_python_in_small_batches(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    in_python = ("MapInArrow", "FlatMapGroupsInPandas", "ArrowEvalPython")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    seen = []
+
+    def note(df):
+        if any(x in plan(df) for x in in_python):
+            seen.append(int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))
+
+    collect, parquet = DataFrame.collect, DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrame, "collect", lambda self: (note(self), collect(self))[1])
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **b: (note(self._df), parquet(self, *a, **b))[1])
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in pipeline.STAGES:
+        seen.clear()
+        out = stage(spark, docs, SF)
+        assert max(seen, default=0) <= 1000 and (seen or stage is pipeline.exact_stage), name
+        assert not any(x in plan(out) for x in in_python), name
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000
+
+
 def test_awkward_rows(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     docs = spark.createDataFrame(
