@@ -78,3 +78,56 @@ def test_retrieval_scores_equal_the_pairwise_ones(spark):
     ]
     assert both[0].keys() == both[1].keys() and any(x[0] for x in both[0].values()) and any(x[1] for x in both[0].values())
     assert all(abs(a - b) < 1e-9 for k in both[0] for a, b in zip(both[0][k], both[1][k], strict=True))
+
+
+def test_equal_documents_are_scored_once_and_keep_their_ranks(spark):
+    texts = [(f"{i:03d}", t) for i, t in enumerate(["red ring", "red bolt", "blue ring", "red ring seven"] * 30)]
+    index = written(bm25.postings(spark.createDataFrame(texts, "article_id string, text string")))
+    asked = [("q1", "red"), ("q1", "ring"), ("q2", "blue"), ("q3", "seven"), ("q3", "bolt")]
+    terms = spark.createDataFrame(asked, "query_id string, term string")
+    few = bm25.folded(index, 35)
+    assert few.select("article_id").distinct().count() == 120 - 0 * 4 and bm25.folded(index, 5).select("article_id").distinct().count() == 20
+    weights = {(r.article_id, r.term): r.weight for r in index.collect()}
+    for k in (5, 35):
+        found = bm25.top_k(terms, bm25.folded(index, k), k)
+        got = {q: [r.article_id for r in sorted(found.where(f"query_id = '{q}'").collect(), key=lambda r: r["rank"])] for q in ("q1", "q2", "q3")}
+        for q in got:
+            sums = {a: sum(weights.get((a, t), 0) for o, t in asked if o == q) for a, _ in texts}
+            assert got[q] == sorted((a for a in sums if sums[a] > 0), key=lambda a: (-round(sums[a], 9), a))[:k]
+
+
+def test_equal_query_vectors_are_asked_once(spark):
+    vectors = spark.createDataFrame([(f"a{i}", [float(i), 1.0, -1.0]) for i in range(9)], "article_id string, vec array<double>")
+    queries = spark.createDataFrame([(f"u{i}", [0.6, 0.8 * (i % 2), 0.0]) for i in range(40)], "who string, history_vec array<double>")
+    found = dense.top_k(queries, vectors, 4, query_col="who")
+    assert {r.who: r.n for r in found.groupBy("who").agg(F.count("rank").alias("n")).collect()} == {f"u{i}": 4 for i in range(40)}
+    assert {r.article_id for r in found.where("rank = 1").collect()} == {"a8"}
+
+
+def test_pairs_meet_their_terms_as_lists(spark):
+    index = written(bm25.postings(spark.createDataFrame([("1", "a b"), ("2", "b c")], "article_id string, text string")))
+    terms = spark.createDataFrame([("q", "a"), ("q", "c")], "query_id string, term string")
+    pairs = spark.createDataFrame([("q", "1"), ("q", "2"), ("q", "3"), ("r", "1")], "query_id string, article_id string")
+    found = bm25.score_pairs(pairs, terms, index, query_col="query_id")
+    assert count(found, "Generate") == 0
+    assert {(r.query_id, r.article_id): r.bm25_score > 0 for r in found.collect()} == {("q", "1"): True, ("q", "2"): True, ("q", "3"): False, ("r", "1"): False}
+
+
+def test_tasks_of_a_boost_grow_one_tree(spark, monkeypatch):
+    shown = adapters.impressions(spark, SF).withColumn("row_id", F.concat_ws(":", "impression_id", "position"))
+    table = written(shown.withColumn("a", F.xxhash64("row_id") % 97 + 60 * F.col("clicked")).withColumn("b", F.xxhash64("row_id", F.lit(1)) % 11))
+    alone = rerank.train_ranker(table, columns=("a", "b"), trees=3, rate=0.3)
+    monkeypatch.setattr(rerank, "TASK_ROWS", 1000)
+    shared = rerank.train_ranker(table, columns=("a", "b"), trees=3, rate=0.3)
+    scores = [{r.row_id: r.rank_score for r in x.score(table, columns=("a", "b")).select("row_id", "rank_score").collect()} for x in (alone, shared)]
+    assert len(set(scores[0].values())) > 3 and len(alone.trees) == len(shared.trees) == 3
+    assert all(abs(scores[0][k] - scores[1][k]) < 1e-6 for k in scores[0])
+
+
+def test_registered_ranker_has_all_trees(monkeypatch):
+    from rillrank import queries
+
+    asked = {}
+    monkeypatch.setattr(rerank, "train_ranker", lambda table, **options: asked.update(options))
+    queries._ranker(type("Table", (), {"where": lambda self, _: self})())
+    assert asked == {}
